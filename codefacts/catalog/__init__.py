@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from codefacts.catalog import scalars  # noqa: F401
+from codefacts.catalog import joins, scalars  # noqa: F401
 from codefacts.catalog.base import SPARK, SQL  # noqa: F401

@@ -8,7 +8,7 @@ limit both sides are shuffled by the substring.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = 24
@@ -31,17 +31,13 @@ def contains_pairs(needles: DataFrame, needle: str, texts: DataFrame, text: str,
     if not lengths:
         return wanted.join(texts.select(*keys, text), keys).select(*keys, needle, text)
     size = F.length(text)
-    pieces = F.flatten(
-        F.array(
-            *[
-                F.when(
-                    size >= n,
-                    F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i, n=n: F.col(text).substr(i, F.lit(n))),
-                ).otherwise(F.array().cast("array<string>"))
-                for n in lengths
-            ]
-        )
-    )
+
+    def of_length(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))
+        cut = F.transform(starts, lambda i: F.col(text).substr(i, F.lit(n)))
+        return F.when(size >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    pieces = F.flatten(F.array(*[of_length(n) for n in lengths]))
     expanded = (
         texts.select(*keys, text).distinct().select(*keys, text, F.explode(F.array_distinct(pieces)).alias("_k"))
     )
