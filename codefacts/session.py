@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,16 +26,25 @@ def build_session(app: str = "codefacts", cpus: str | int = "*", shuffle: int |
     return spark
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; a local run without one gets a temporary folder."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        named = tempfile.mkdtemp(prefix="codefacts-ckpt-")
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` reliably in the folder the cluster names.
+    """Write ``df`` once as Parquet in the shared checkpoint folder and read it back.
 
-    Only where ``spark.checkpoint.dir`` is unset and no folder was set on the context (local tests) a
-    temporary folder is used.
+    Later plans start at the files: nothing before is computed again, a lost executor costs only the tasks that ran
+    on it, and the known file size lets the optimizer choose the join strategy.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="codefacts-ckpt-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/codefacts-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
