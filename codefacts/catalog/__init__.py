@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from codefacts.catalog import aggregates, impactq, joins, scalars  # noqa: F401
+from codefacts.catalog import aggregates, impactq, joins, scalars, tasks  # noqa: F401
 from codefacts.catalog.base import SPARK, SQL  # noqa: F401
