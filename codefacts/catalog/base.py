@@ -71,9 +71,8 @@ VIEWS = {
         from docpath where coalesce(toxic,0)=0""",
     "messages": """select 'firmware' as project_id, conv_id as task_id, turn as ord, role as sender, text as content
         from conversations""",
-    "questions": """select 'firmware' as project_id, c_custkey as query_id, concat('fix the ',lower(c_mktsegment),' of ',
-        replace(p_name,' ','_'),'_',cast(c_custkey as varchar),' in ',replace(p_brand,'#','_')) as text
-        from customer join part on p_partkey=c_custkey""",
+    "questions": """select 'firmware' as project_id, c_custkey as query_id, concat('fix the ',lower(c_mktsegment),' of _',
+        cast(c_custkey as varchar)) as text from customer""",
 }
 
 

@@ -224,13 +224,8 @@ class Facts:
 
     @cached_property
     def questions(self) -> DataFrame:
-        """One question per customer: the words of the part numbered alike, in the customer's market segment."""
-        part = self.table("part").select(F.col("p_partkey").alias("c_custkey"), "p_name", "p_brand", "p_type")
-        return self.table("customer").join(part, "c_custkey").select(
+        """One question per customer: its market segment and its number, which names symbols."""
+        return self.table("customer").select(
             F.lit(PROJECT).alias("project_id"), F.col("c_custkey").alias("query_id"),
-            F.concat(
-                F.lit("fix the "), F.lower("c_mktsegment"), F.lit(" of "),
-                F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("c_custkey").cast("string"),
-                F.lit(" in "), F.replace("p_brand", F.lit("#"), F.lit("_")),
-            ).alias("text"),
+            F.concat(F.lit("fix the "), F.lower("c_mktsegment"), F.lit(" of _"), F.col("c_custkey").cast("string")).alias("text"),
         )
