@@ -40,7 +40,7 @@ def answers(f: Facts):
 @add("q1_query_index", """
 select query_id, 'file' as kind, path as item, reason, rank from (select *, row_number() over (partition by query_id order by step, path) as rank from hfs) where rank<=15
 union all select query_id, 'symbol', name, hit, rank from (select *, row_number() over (partition by query_id order by first_ord, name) as rank from sh) where rank<=25
-union all select query_id, 'call', concat(caller,' -> ',callee), confidence, rank from (select *, row_number() over (partition by query_id order by file, line, caller, callee) as rank from eh) where rank<=40""", HITS)
+union all select query_id, 'call', concat(caller,' -> ',callee), confidence, rank from (select *, row_number() over (partition by query_id order by file, line, caller, callee, confidence) as rank from eh) where rank<=40""", HITS)
 def q1(f: Facts):
     return questions.query_index(answers(f)).drop("project_id")
 
@@ -86,7 +86,7 @@ def q8(f: Facts):
 
 @add("q4_search_feature", """
 select q.query_id, case when k.kw is not null and (coalesce(f.n,0)>0 or coalesce(s.n,0)>0) then coalesce(s.feature,k.kw) end as feature, case when k.kw is null or (coalesce(f.n,0)=0 and coalesce(s.n,0)=0) then 'low' when coalesce(s.n,0)>0 and coalesce(e.n,0)>0 then 'high' else 'medium' end as confidence,
- coalesce(s.n,0) as n_symbols, coalesce(f.n,0) as n_files, coalesce(e.n,0) as n_edges, f.st as compile_status, case when f.st is null or f.st='excluded' or f.ex or (coalesce(s.n,0)=0 and coalesce(e.n,0)=0) then 'read_source' else 'answer' end as recommended_action, cast(null as varchar) as reason
+ coalesce(s.n,0) as n_symbols, coalesce(f.n,0) as n_files, coalesce(e.n,0) as n_edges, f.st as compile_status, case when f.st is null or f.st='excluded' or f.ex or (coalesce(s.n,0)=0 and coalesce(e.n,0)=0) then 'read_source' else 'answer' end as recommended_action, case when coalesce(f.n,0)=0 and coalesce(s.n,0)=0 then 'no matching symbols/files' end as reason
 from questions q left join (select query_id, min_by(keyword,pos) as kw from qkw group by query_id) k on k.query_id=q.query_id left join (select query_id, count(*) as n, min_by(name,first_ord) as feature from sh group by query_id) s on s.query_id=q.query_id
 left join (select query_id, count(*) as n, ['compiled','not_compiled','excluded'][min(case compile_status when 'compiled' then 1 when 'not_compiled' then 2 else 3 end)] as st, bool_or(compile_status='excluded') as ex from hfs join files f on f.path=hfs.path where step<>1 group by query_id) f on f.query_id=q.query_id
 left join (select query_id, cast(sum(n) as bigint) as n from eh group by query_id) e on e.query_id=q.query_id""", HITS)

@@ -80,7 +80,7 @@ def query_index(a: Answers, max_files: int = 15, max_symbols: int = 25, max_edge
     """The part of the index a task touches, in long form ``(…, kind, item, reason, rank)``."""
     files = top(a.hit_files(), ["step", "path"], max_files).select(*Q, F.lit("file").alias("kind"), F.col("path").alias("item"), "reason", "rank")
     syms = top(a.symbols, ["first_ord", "name"], max_symbols).select(*Q, F.lit("symbol").alias("kind"), F.col("name").alias("item"), F.col("hit").alias("reason"), "rank")
-    edges = top(a.edges, EDGE, max_edges).select(*Q, F.lit("call").alias("kind"), F.concat_ws(" -> ", "caller", "callee").alias("item"), F.col("confidence").alias("reason"), "rank")
+    edges = top(a.edges, [*EDGE, "confidence"], max_edges).select(*Q, F.lit("call").alias("kind"), F.concat_ws(" -> ", "caller", "callee").alias("item"), F.col("confidence").alias("reason"), "rank")
     return files.unionByName(syms).unionByName(edges)
 
 
