@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from codefacts.catalog import aggregates, impactq, joins, questionq, scalars, sourceq, tasks  # noqa: F401
+from codefacts.catalog import aggregates, impactq, joins, questionq, refreshq, scalars, sourceq, tasks  # noqa: F401
 from codefacts.catalog.base import SPARK, SQL  # noqa: F401
