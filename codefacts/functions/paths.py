@@ -128,6 +128,9 @@ def scope_name_of(path: Column | str, name: Column | None = None) -> Column:
 def _glob_regex(pattern: Column, any_text: str) -> Column:
     """Shell pattern to regex; ``any_text`` stands for ``*`` (with or without slashes)."""
     escaped = F.regexp_replace(pattern, r"([.+^$(){}|\\])", r"\\$1")
+    # "[[]" is a literal bracket; a bracket that opens no class is one too
+    escaped = F.regexp_replace(F.replace(escaped, F.lit("[[]"), F.lit("\u0001")), r"\[(?![^\[\]]+\])", r"\\[")
+    escaped = F.replace(escaped, F.lit("\u0001"), F.lit("\\["))
     return F.replace(
         F.replace(F.replace(escaped, F.lit("[!"), F.lit("[^")), F.lit("?"), F.lit(".")), F.lit("*"), F.lit(any_text)
     )
