@@ -6,13 +6,16 @@ row does not exist and a failed write changes nothing.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 SCHEMA_VERSION = "2"
 INDEX_VERSION = "1.6"
-MANIFEST = "snapshot_id string, batch_id bigint, schema_version string, index_version string, tables map<string,string>, generated_at timestamp"
+MANIFEST = "snapshot_id string, batch_id bigint, schema_version string, index_version string, tables map<string,string>, schemas map<string,string>, generated_at timestamp"
 STATE_TABLES = {
     "tasks": "project_id string, task_id string, goal string, state string, iteration int, max_iterations int, created_at timestamp, updated_at timestamp",
     "agents": "project_id string, task_id string, agent_id string, role string, status string, updated_at timestamp",
@@ -34,8 +37,8 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def write_index(tables: dict[str, DataFrame], root: str, snapshot_id: str, batch_id: int = -1, reuse: dict[str, str] | None = None) -> bool:
-    """Write one snapshot; ``reuse`` names table folders of an older snapshot that stay as they are.
+def write_index(tables: dict[str, DataFrame], root: str, snapshot_id: str, batch_id: int = -1, reuse: dict[str, tuple[str, str]] | None = None) -> bool:
+    """Write one snapshot; ``reuse`` names (folder, schema) of tables of an older snapshot that stay as they are.
 
     A batch that was committed before is skipped, so a replayed stream batch writes nothing twice.
     """
@@ -43,14 +46,17 @@ def write_index(tables: dict[str, DataFrame], root: str, snapshot_id: str, batch
     manifest = read_or_empty(spark, f"{root}/manifest", MANIFEST)
     if batch_id >= 0 and not manifest.where(F.col("batch_id") == batch_id).isEmpty():
         return False
-    folders = dict(reuse or {})
+    folders = {k: v[0] for k, v in (reuse or {}).items()}
+    schemas = {k: v[1] for k, v in (reuse or {}).items()}
     for name, df in tables.items():
         folders[name] = f"{root}/{snapshot_id}/{name}"
+        schemas[name] = df.schema.json()
         writer = df.write.mode("overwrite")
         (writer.partitionBy("project_id") if "project_id" in df.columns else writer).parquet(folders[name])
     row = spark.range(1).select(
         F.lit(snapshot_id).alias("snapshot_id"), F.lit(batch_id).cast("bigint").alias("batch_id"), F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(INDEX_VERSION).alias("index_version"),
-        F.create_map(*[F.lit(x) for kv in sorted(folders.items()) for x in kv]).alias("tables"), F.current_timestamp().alias("generated_at"))
+        F.create_map(*[F.lit(x) for kv in sorted(folders.items()) for x in kv]).alias("tables"),
+        F.create_map(*[F.lit(x) for kv in sorted(schemas.items()) for x in kv]).alias("schemas"), F.current_timestamp().alias("generated_at"))
     row.coalesce(1).write.mode("append").parquet(f"{root}/manifest")
     return True
 
@@ -63,7 +69,9 @@ def read_index(spark: SparkSession, root: str) -> tuple[str, dict[str, DataFrame
     if last[0]["schema_version"] != SCHEMA_VERSION:
         return "CORRUPTED", {}
     try:
-        return "VALID", {name: spark.read.parquet(path) for name, path in last[0]["tables"].items()}
+        # the stored schema also serves tables that are empty
+        schemas = {k: T.StructType.fromJson(json.loads(v)) for k, v in last[0]["schemas"].items()}
+        return "VALID", {name: spark.read.schema(schemas[name]).parquet(path) for name, path in last[0]["tables"].items()}
     except AnalysisException:
         return "CORRUPTED", {}
 
@@ -71,7 +79,7 @@ def read_index(spark: SparkSession, root: str) -> tuple[str, dict[str, DataFrame
 def refresh_index(spark: SparkSession, root: str, snapshot_id: str, files: DataFrame) -> bool:
     """New snapshot with fresh file hashes only; all other tables keep their folders."""
     last = read_or_empty(spark, f"{root}/manifest", MANIFEST).orderBy(F.desc("generated_at")).limit(1).collect()
-    reuse = {k: v for k, v in last[0]["tables"].items() if k != "files"} if last else {}
+    reuse = {k: (v, last[0]["schemas"][k]) for k, v in last[0]["tables"].items() if k != "files"} if last else {}
     return write_index({"files": files}, root, snapshot_id, reuse=reuse)
 
 

@@ -109,7 +109,12 @@ def test_stage_monitor(spark, tmp_path):
     df = spark.createDataFrame(data, "run_id string, t string, stage string, status string").select("run_id", F.to_timestamp("t").alias("ts"), "stage", "status")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = live.stage_monitor(live.read_events(spark, str(tmp_path / "in"), "run_id string, ts timestamp, stage string, status string"))
-    got = {r.run_id: r for r in _collect(spark, stream, tmp_path, "update").where("kind = 'stage'").collect()}
+    # processing-time timers keep a stream alive, so it is stopped by hand
+    out = str(tmp_path / "out")
+    q = stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).foreachBatch(lambda b, i: b.write.mode("append").parquet(out)).start()
+    q.awaitTermination(25)
+    q.stop()
+    got = {r.run_id: r for r in spark.read.parquet(out).where("kind = 'stage'").collect()}
     assert got["r1"].stage == "completed" and got["r2"].stage == "review" and got["r2"].status == "running"
 
 
