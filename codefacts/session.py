@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,25 +26,51 @@ def build_session(app: str = "codefacts", cpus: str | int = "*", shuffle: int |
     return spark
 
 
+_WRITTEN: set[str] = set()
+
+
 def _shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a local run without one gets a temporary folder."""
+    """The folder the cluster names for checkpoints, else one below the session's warehouse, which all executors share."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if named is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="codefacts-ckpt-")
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_lineage").rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared checkpoint folder and read it back.
 
     Later plans start at the files: nothing before is computed again, a lost executor costs only the tasks that ran
-    on it, and the known file size lets the optimizer choose the join strategy.
+    on it, and the known file size lets the optimizer choose the join strategy. The files go when the program ends, or
+    earlier by ``drop_lineage``.
     """
     spark = df.sparkSession
+    if not _WRITTEN:
+        atexit.register(_drop_all, spark)
     path = f"{_shared_folder(spark)}/codefacts-{uuid.uuid4().hex}"
+    _WRITTEN.add(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lineage_path = path
+    return out
+
+
+def drop_lineage(df: DataFrame) -> None:
+    """Delete the files behind a DataFrame of ``cut_lineage`` that nothing reads any more."""
+    path = getattr(df, "_lineage_path", None)
+    if path in _WRITTEN:
+        _delete(df.sparkSession, path)
+        _WRITTEN.discard(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _drop_all(spark: SparkSession) -> None:
+    try:
+        for path in _WRITTEN:
+            _delete(spark, path)
+    except Exception:  # noqa: BLE001 - the session has ended; its folder is the cluster's to clear
+        pass
