@@ -85,15 +85,16 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
     same = lambda a, b, *cols: [a[c].eqNullSafe(b[c]) for c in cols]
     offsets = by_part.drop("n").alias("p").join(by_size.drop("n").alias("s"), [F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("source", "size")]).select(
         F.col("p.source").alias("_source"), F.col("p.size").alias("_size"), F.col("p._part").alias("_in"), (F.col("_s") + F.col("_p")).alias("_before"))
-    offsets = offsets.join(rates, F.col("_source").eqNullSafe(F.col("source"))).drop("source")
+    offsets = offsets.join(rates, F.col("_source").eqNullSafe(F.col("source"))).select(
+        "_source", "_size", "_in", "_before", F.col("source_size").alias("_total"), F.col("target").alias("_target"), F.col("rate").alias("_rate"))
     inside = F.row_number().over(Window.partitionBy("source", "size", "_part").orderBy("doc_id"))
     ranked = rows.withColumn("_rank", inside).join(
         offsets, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("_part") == F.col("_in")))
     position = (F.col("_before") + F.col("_rank")).cast("double")
-    copies = (F.floor(position * F.col("rate")) - F.floor((position - 1) * F.col("rate"))).cast("long")
+    copies = (F.floor(position * F.col("_rate")) - F.floor((position - 1) * F.col("_rate"))).cast("long")
     copies = F.least(copies, F.lit(most).cast("long"))
     return ranked.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).select(
-        *[F.col(f"`{c}`") for c in own], "size", "source_size", "target", "copies", "taken")
+        *[F.col(f"`{c}`") for c in own], "size", F.col("_total").alias("source_size"), F.col("_target").alias("target"), "copies", "taken")
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:

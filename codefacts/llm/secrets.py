@@ -55,6 +55,7 @@ def guess_cost(value: str) -> float:
     plain = low.translate(LEET)
     best = [0.0] + [math.inf] * n
     walk = same = 1
+    again = [0] * 9
     dates: dict[int, list[tuple[int, float]]] = {}
     for i in range(n):
         if low[i] in "0123456789" and (m := DATE.match(low, i)):
@@ -67,9 +68,11 @@ def guess_cost(value: str) -> float:
             cost = min(cost, min(best[i - k] + math.log10(40 * k) for k in range(3, min(walk, 26) + 1)))
         if same >= 3:
             cost = min(cost, best[i - same] + math.log10(30 * same))
-        for unit in range(2, 9):  # a unit that comes twice or more costs what it costs once, and the count
-            if i >= 2 * unit and low[i - unit : i] == low[i - 2 * unit : i - unit]:
-                cost = min(cost, best[i - unit] + 0.3)
+        for unit in range(2, 9):  # a unit that comes again and again costs what it costs once, and the count
+            again[unit] = again[unit] + 1 if i > unit and low[i - 1] == low[i - 1 - unit] else 0
+            if again[unit] >= unit:
+                times = again[unit] // unit
+                cost = min(cost, best[i - times * unit] + math.log10(times + 1))
         for start, price in dates.get(i, ()):
             cost = min(cost, best[start] + price)
         for k in range(2, min(LONGEST, i) + 1):

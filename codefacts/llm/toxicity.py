@@ -27,6 +27,8 @@ SAMPLE_CHARS = 20_000
 VOCABULARY = 2_000
 LEAST_Z = 4.5
 PREFIXES = (4, 5, 6)
+#: What the toxic rows weigh together in the fit; under one half, so that without evidence nothing is rejected.
+TOXIC_SHARE = 0.4
 PENALTY = 10.0
 
 # Terms of one group are swapped in a ring.
@@ -81,16 +83,16 @@ def counterfactuals(text: str) -> list[set[str]]:
 
 
 def fit(examples: list[tuple[int, str]], penalty: float = PENALTY, steps: int = 400) -> dict[str, float]:
-    """Word weights and the constant (under the empty word); without both labels the constant alone, 0.
+    """Word weights and the constant (under the empty word); without both labels the constant alone.
 
-    Both labels weigh the same. ``penalty`` weighs the mean squared change of the linear score under swaps.
+    The labels weigh TOXIC_SHARE and the rest, however many rows have them. ``penalty`` weighs the mean squared change of the linear score under swaps.
     """
     examples = distinct(examples)
     rows = [features_of(words_of(t)) for _, t in examples]
     y = np.array([v for v, _ in examples], float)
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
     if not n1 or not n0:
-        return {"": 0.0}
+        return {"": math.log(TOXIC_SHARE / (1 - TOXIC_SHARE))}
     seen = [Counter(w for r, v in zip(rows, y, strict=True) if v == c for w in r) for c in (0, 1)]
     strength = {}  # signed root of the likelihood ratio against equal shares under both labels
     for w in seen[1].keys() | seen[0].keys():
@@ -113,7 +115,7 @@ def fit(examples: list[tuple[int, str]], penalty: float = PENALTY, steps: int =
     x = matrix(rows)
     x[:, -1] = 1
     change = matrix([c for _, c in swaps]) - matrix([r for r, _ in swaps]) if swaps else np.zeros((0, x.shape[1]), np.float32)
-    share = np.where(y == 1, 0.5 / n1, 0.5 / n0)
+    share = np.where(y == 1, TOXIC_SHARE / n1, (1 - TOXIC_SHARE) / n0)
     w, speed = np.zeros(x.shape[1]), np.zeros(x.shape[1])
     # steps stay below the inverse of the steepest curvature of the penalty
     steepest = penalty * float((change.astype(float) ** 2).sum(axis=1).max()) if len(change) else 0.0

@@ -43,7 +43,8 @@ def test_models_without_both_labels(spark):
     docs = spark.createDataFrame([(1, "a", 9), (2, None, 9), (None, "", 9), (2, None, 9)], "doc_id bigint, text string, score int")
     labels = spark.createDataFrame([(1, 1, None), (7, None, 0)], "doc_id bigint, quality int, toxic int")
     assert {r["score"] for r in compression.quality(docs, labels, F.lit(True)).collect()} == {0.5}
-    assert {r["score"] for r in toxicity.toxicity(docs, labels, F.lit(True)).collect()} == {0.5}
+    assert {r["predicted"] for r in toxicity.toxicity(docs, labels, F.lit(True)).collect()} == {0}
+    assert toxicity.without_toxic(docs, toxicity.fit([])).count() == docs.count()
     assert toxicity.without_toxic(docs.where("false"), {"": 0.0}).count() == 0 and compression.scored(docs.where("false"), compression.fit([])).count() == 0
     long = "bad words " * 30_000
     models = compression.fit([(0, long + str(i)) for i in range(9)] + [(1, f"quiet reading number {i} of the good text") for i in range(9)])
