@@ -6,10 +6,11 @@ hold the same sample in the same order: that follows edit similarity, not just s
 candidates. The similarity of a pair is the longest common subsequence of the two shingle sequences over the shingles of
 both less that subsequence (the Jaccard similarity that respects order); a banded alignment decides it exactly.
 
-Groups of copies are never paired with each other. Equal word sequences collapse to one content first. In every bucket
-each content is aligned with the smallest one only (a star); what stays unconnected is then aligned with the contents of
-the bucket that lie in another component, so every link between different texts that share a bucket is settled while a
-tight group of a million near copies costs a million alignments, not their square.
+Groups of copies are never paired with each other. Equal word sequences collapse to one content first. In rounds, each
+content is aligned with one head per bucket (a star) unless both are connected by then; every bucket has a head of its own
+choosing, so a loose family meets many of its members. What stays outside the largest component of its bucket is at last
+aligned with all contents of other components that share three sketches with it in one of many triples. A tight group of a
+million near copies thus costs about a million alignments, and unlinked contents cost their own candidates only.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -30,6 +32,9 @@ SHINGLE = 5
 SKETCHES = 18
 TAKEN = 3
 SIMILARITY = 0.8
+ROUNDS = 4
+#: Triples of sketches that bring candidates of the last pass together.
+TRIPLES = 96
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xFF51AFD7ED558CCD)
@@ -111,6 +116,8 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> floa
         return 1.0
     if min(len(a), len(b)) < threshold * max(len(a), len(b)):
         return None
+    if _shared(a, b) < threshold / (1 + threshold) * size - 1e-9:  # no order of the common shingles reaches it
+        return None
     short = min(len(a), len(b))
     unlike = np.flatnonzero(a[:short] != b[:short])
     head = int(unlike[0]) if len(unlike) else short
@@ -124,6 +131,12 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> floa
     return similarity if similarity >= threshold else None
 
 
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Shingles of both, repeats counted: the longest common subsequence is no longer."""
+    both = np.sort(np.concatenate([labelled(a), labelled(b)]))
+    return int((both[1:] == both[:-1]).sum())
+
+
 def _banded_lcs(a: np.ndarray, b: np.ndarray, half: int) -> int:
     shared = np.intersect1d(a, b)
     if len(shared) == 0:
@@ -181,6 +194,12 @@ def _verified(threshold: float):
     return rows
 
 
+def _triples() -> list[tuple[int, int, int]]:
+    """TRIPLES of the sketches, spread evenly over all."""
+    every = list(combinations(range(SKETCHES), 3))
+    return [every[i * 389 % len(every)] for i in range(TRIPLES)]
+
+
 def sketch_table(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``content`` (digest of the word sequence), ``n`` shingles and the sketch ``keys`` of every row."""
     return docs.select("doc_id", "text").mapInPandas(_sketch_rows, "doc_id bigint, content binary, n bigint, keys array<bigint>")
@@ -196,40 +215,51 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY) -> Da
     """
     rows = cut_lineage(sketch_table(docs))
     contents = rows.where("doc_id is not null").groupBy("content").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("doc_id").alias("first_id"))
-    keyed = contents.select("content", "n", F.posexplode("keys").alias("i", "h")).select("content", "n", F.xxhash64("i", "h").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("content").alias("head"), F.count("*").alias("members")).where("members > 1").drop("members")
-    bucketed = cut_lineage(keyed.join(heads, "key"))
     alike = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")
 
-    sizes = contents.select(F.col("content").alias("head"), F.col("n").alias("n_a"))
-    stars = cut_lineage(bucketed.where("content <> head").select("head", F.col("content").alias("b"), F.col("n").alias("n_b")).distinct()
-                        .join(sizes, "head").where(alike).select(F.col("head").alias("a"), "b"))
-    text_of = rows.where("doc_id is not null").groupBy("content").agg(F.min("doc_id").alias("doc_id"))
-    asked = bucketed.select("content").distinct()
-    codes = cut_lineage(
-        docs.select("doc_id", "text").join(text_of.join(asked, "content", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi")
-        .mapInPandas(_code_rows, "content binary, codes binary").join(asked, "content", "left_semi").dropDuplicates(["content"])
-    )
+    def bucketed(keyed: DataFrame) -> DataFrame:
+        heads = keyed.groupBy("key").agg(F.min_by("content", F.xxhash64("content", "key")).alias("head"), F.count("*").alias("members")).where("members > 1")
+        return cut_lineage(keyed.join(heads.drop("members"), "key"))
+
+    singles = bucketed(contents.select("content", "n", F.posexplode("keys").alias("i", "h")).select("content", "n", "i", F.xxhash64("i", "h").alias("key")))
+    asked = singles.select("content").distinct()
+    text_of = contents.join(asked, "content", "left_semi").select(F.col("first_id").alias("doc_id")).distinct()
+    codes = cut_lineage(docs.select("doc_id", "text").join(text_of, "doc_id", "left_semi")
+                        .mapInPandas(_code_rows, "content binary, codes binary").join(asked, "content", "left_semi").dropDuplicates(["content"]))
 
     def links(pairs: DataFrame) -> DataFrame:
         left = codes.select(F.col("content").alias("a"), F.col("codes").alias("codes_a"))
         right = codes.select(F.col("content").alias("b"), F.col("codes").alias("codes_b"))
-        return pairs.join(left, "a").join(right, "b").mapInPandas(_verified(threshold), "a binary, b binary, similarity double").where("similarity >= 0")
-
-    first = cut_lineage(links(stars))
-    placed = components(first)
-    grouped = bucketed.join(placed.withColumnRenamed("node", "content"), "content", "left").withColumn("component", F.coalesce("component", "content"))
-    tops = placed.select(F.col("node").alias("head"), F.col("component").alias("top"))
-    grouped = cut_lineage(grouped.join(tops, "head", "left").withColumn("top", F.coalesce("top", "head")))
-    rest = grouped.where("component <> top").select("key", F.col("content").alias("x"), F.col("n").alias("n_a"), F.col("component").alias("cx"), "top")
-    every = grouped.select("key", F.col("content").alias("y"), F.col("n").alias("n_b"), F.col("component").alias("cy"), F.col("head"))
-    across = (
-        rest.join(every, "key").where((F.col("cx") != F.col("cy")) & alike & (F.col("y") != F.col("head")))
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    )
-    second = links(across)
-    edges = first.select("a", "b").unionByName(second.select("a", "b"))
-    final = components(edges).withColumnRenamed("node", "content")
+        found = pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(_verified(threshold), "a binary, b binary, similarity double")
+        return cut_lineage(found.where("similarity >= 0").select("a", "b"))
+
+    def placed(buckets: DataFrame, classes: DataFrame | None, name: str, out: str) -> DataFrame:
+        if classes is None:
+            return buckets.withColumn(out, F.col(name))
+        known = classes.select(F.col("node").alias(name), F.col("component").alias("_c"))
+        return buckets.join(known, name, "left").withColumn(out, F.coalesce("_c", name)).drop("_c")
+
+    edges = classes = None
+    sizes = contents.select(F.col("content").alias("head"), F.col("n").alias("n_a"))
+    for turn in range(ROUNDS):
+        stars = singles.where((F.col("i") % ROUNDS == turn) & (F.col("content") != F.col("head"))).select("head", "content", F.col("n").alias("n_b")).distinct()
+        apart = placed(placed(stars, classes, "head", "ca"), classes, "content", "cb").where("ca <> cb")
+        new = links(apart.join(sizes, "head").where(alike).select(F.col("head").alias("a"), F.col("content").alias("b")))
+        edges = new if edges is None else edges.unionByName(new)
+        classes = components(edges)
+
+    triples = F.array(*[F.struct(*[F.lit(x) for x in t]) for t in _triples()])
+    key = lambda t: F.xxhash64(t["col1"], t["col2"], t["col3"], F.get("keys", t["col1"]), F.get("keys", t["col2"]), F.get("keys", t["col3"]))
+    crowded = placed(contents.join(asked, "content", "left_semi"), classes, "content", "component")
+    keyed = cut_lineage(crowded.select("content", "n", "component", F.explode(F.transform(triples, key)).alias("key")))
+    mixed_keys = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    keyed = cut_lineage(keyed.join(mixed_keys, "key", "left_semi"))
+    tops = keyed.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("top"))
+    rest = keyed.join(tops, "key").where("component <> top").select("key", F.col("content").alias("x"), F.col("n").alias("n_a"), F.col("component").alias("cx"), "top")
+    every = keyed.select("key", F.col("content").alias("y"), F.col("n").alias("n_b"), F.col("component").alias("cy"))
+    once = (F.col("cy") == F.col("top")) | (F.col("x") < F.col("y"))  # a pair of two outsiders comes from both ends
+    across = rest.join(every, (rest["key"] == every["key"]) & (F.col("cx") != F.col("cy")) & once & alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    final = components(edges.unionByName(links(across))).withColumnRenamed("node", "content")
     named = contents.select("content", "first_id").join(final, "content", "left").withColumn("component", F.coalesce("component", "content"))
     least = named.groupBy("component").agg(F.min("first_id").alias("class_id"))
     classes = named.join(least, "component").select("content", "class_id")
