@@ -1,16 +1,17 @@
 """Near duplicates by Order MinHash with banded alignment.
 
-A document is its sequence of five-word shingles. One sketch takes the few shingles with the smallest hashes, repeated
-shingles told apart by an occurrence number, and keeps them in text order, so it is equal for two texts only when both
+A document is its sequence of five-word shingles, the repeats of one told apart by an occurrence number (up to the
+second). One sketch takes the few shingles with the smallest hashes and keeps them in text order, so it is equal for two texts only when both
 hold the same sample in the same order: that follows edit similarity, not just set overlap. Texts that share a sketch are
 candidates. The similarity of a pair is the longest common subsequence of the two shingle sequences over the shingles of
 both less that subsequence (the Jaccard similarity that respects order); a banded alignment decides it exactly.
 
 Groups of copies are never paired with each other. Equal word sequences collapse to one content first. In rounds, each
 content is aligned with one head per bucket (a star) unless both are connected by then; every bucket has a head of its own
-choosing, so a loose family meets many of its members. What stays outside the largest component of its bucket is at last
-aligned with all contents of other components that share three sketches with it in one of many triples. A tight group of a
-million near copies thus costs about a million alignments, and unlinked contents cost their own candidates only.
+choosing, so a loose family meets many of its members; the last rounds take buckets of three sketches together. What still
+lies outside the largest component of such a bucket is aligned with the contents of other components in it. A tight group of
+a million near copies thus costs about a million alignments. A loose family whose members are alike but mostly below the
+threshold still costs, for each member that links to nothing, one alignment per member it shares a bucket with.
 """
 
 from __future__ import annotations
@@ -31,9 +32,10 @@ from codefacts.session import cut_lineage
 SHINGLE = 5
 SKETCHES = 18
 TAKEN = 3
+OCCURRENCES = 2
 SIMILARITY = 0.8
 ROUNDS = 4
-#: Triples of sketches that bring candidates of the last pass together.
+#: Triples of sketches whose buckets the last rounds use.
 TRIPLES = 96
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -67,23 +69,35 @@ def shingles(codes: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     return total
 
 
-def labelled(hashes: np.ndarray) -> np.ndarray:
-    """Tells the repeats of a shingle apart: first, second, … occurrence in the text."""
+def occurrences(hashes: np.ndarray) -> np.ndarray:
+    """0 for the first occurrence of a shingle in the text, 1 for the second, …"""
     order = np.argsort(hashes, kind="stable")
     ranked = hashes[order]
     first = np.ones(len(ranked), bool)
     first[1:] = ranked[1:] != ranked[:-1]
     start = np.maximum.accumulate(np.where(first, np.arange(len(ranked)), 0))
-    seen = np.empty(len(ranked), np.uint64)
-    seen[order] = (np.arange(len(ranked)) - start).astype(np.uint64)
-    return mixed(hashes + seen * _MIX)
+    seen = np.empty(len(ranked), np.int64)
+    seen[order] = np.arange(len(ranked)) - start
+    return seen
 
 
-def sketches(hashes: np.ndarray, count: int = SKETCHES, taken: int = TAKEN) -> list[int]:
+def items_of(words: list[bytes] | np.ndarray) -> np.ndarray:
+    """The occurrence-labelled shingles of a text in text order, from its words or their codes.
+
+    Occurrences past the OCCURRENCES-th are left out: one line repeated hundreds of times would make texts alike
+    that share nothing else.
+    """
+    hashes = shingles(words if isinstance(words, np.ndarray) else word_codes(words))
+    seen = occurrences(hashes)
+    kept = seen < OCCURRENCES
+    return mixed(hashes[kept] + seen[kept].astype(np.uint64) * _MIX)
+
+
+def sketches(items: np.ndarray, count: int = SKETCHES, taken: int = TAKEN) -> list[int]:
     """One 64-bit key per hash function: its ``taken`` smallest labelled shingles, in text order."""
-    if len(hashes) == 0:
+    if len(items) == 0:
         return []
-    items, keys = labelled(hashes), []
+    keys = []
     rows = max(1, min(count, 200_000 // len(items)))  # so many functions at a time: long texts need no wide matrix
     for i in range(0, count, rows):
         odd = _ODD[i : min(i + rows, count), None]
@@ -132,8 +146,8 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> floa
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
-    """Shingles of both, repeats counted: the longest common subsequence is no longer."""
-    both = np.sort(np.concatenate([labelled(a), labelled(b)]))
+    """Items of both, repeats counted: the longest common subsequence is no longer."""
+    both = np.sort(np.concatenate([x + occurrences(x).astype(np.uint64) * _MIX for x in (a, b)]))
     return int((both[1:] == both[:-1]).sum())
 
 
@@ -174,8 +188,8 @@ def content_key(words: list[bytes]) -> bytes:
 def _sketch_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         words = [words_of(t) for t in frame["text"]]
-        keys = [sketches(shingles(word_codes(w))) for w in words]
-        yield pd.DataFrame({"doc_id": frame["doc_id"], "content": [content_key(w) for w in words], "n": [max(len(w) - SHINGLE + 1, min(len(w), 1)) for w in words], "keys": keys})
+        items = [items_of(w) for w in words]
+        yield pd.DataFrame({"doc_id": frame["doc_id"], "content": [content_key(w) for w in words], "n": [len(x) for x in items], "keys": [sketches(x) for x in items]})
 
 
 def _code_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,7 +201,7 @@ def _code_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _verified(threshold: float):
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            seq = lambda x: shingles(np.frombuffer(x, np.uint32))
+            seq = lambda x: items_of(np.frombuffer(x, np.uint32))
             found = [aligned(seq(x), seq(y), threshold) for x, y in zip(frame["codes_a"], frame["codes_b"], strict=True)]
             yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "similarity": [x if x is not None else -1.0 for x in found]})
 
@@ -241,19 +255,31 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY) -> Da
 
     edges = classes = None
     sizes = contents.select(F.col("content").alias("head"), F.col("n").alias("n_a"))
-    for turn in range(ROUNDS):
-        stars = singles.where((F.col("i") % ROUNDS == turn) & (F.col("content") != F.col("head"))).select("head", "content", F.col("n").alias("n_b")).distinct()
+
+    def star_round(buckets: DataFrame) -> None:
+        nonlocal edges, classes
+        stars = buckets.where(F.col("content") != F.col("head")).select("head", "content", F.col("n").alias("n_b")).distinct()
         apart = placed(placed(stars, classes, "head", "ca"), classes, "content", "cb").where("ca <> cb")
         new = links(apart.join(sizes, "head").where(alike).select(F.col("head").alias("a"), F.col("content").alias("b")))
         edges = new if edges is None else edges.unionByName(new)
         classes = components(edges)
 
+    for turn in range(ROUNDS):
+        star_round(singles.where(F.col("i") % ROUNDS == turn))
     triples = F.array(*[F.struct(*[F.lit(x) for x in t]) for t in _triples()])
     key = lambda t: F.xxhash64(t["col1"], t["col2"], t["col3"], F.get("keys", t["col1"]), F.get("keys", t["col2"]), F.get("keys", t["col3"]))
-    crowded = placed(contents.join(asked, "content", "left_semi"), classes, "content", "component")
-    keyed = cut_lineage(crowded.select("content", "n", "component", F.explode(F.transform(triples, key)).alias("key")))
-    mixed_keys = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    keyed = cut_lineage(keyed.join(mixed_keys, "key", "left_semi"))
+
+    def outside(keyed: DataFrame) -> DataFrame:
+        """The buckets that still hold several components."""
+        keyed = placed(keyed, classes, "content", "component")
+        several = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+        return cut_lineage(keyed.join(several, "key", "left_semi"))
+
+    crowded = contents.join(asked, "content", "left_semi").select("content", "n", F.posexplode(F.transform(triples, key)).alias("i", "key"))
+    keyed = outside(crowded)
+    for turns in (8, 1):  # texts that share a triple are alike, so their heads settle most of what is left
+        star_round(bucketed(keyed.where(F.col("i") % turns == 0).drop("component")))
+        keyed = outside(keyed.drop("component"))
     tops = keyed.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("top"))
     rest = keyed.join(tops, "key").where("component <> top").select("key", F.col("content").alias("x"), F.col("n").alias("n_a"), F.col("component").alias("cx"), "top")
     every = keyed.select("key", F.col("content").alias("y"), F.col("n").alias("n_b"), F.col("component").alias("cy"))

@@ -55,7 +55,7 @@ def corpus(rng, words=120):
 
 
 def brute_classes(texts):
-    runs = [om.shingles(om.word_codes(om.words_of(t))) for t in texts]
+    runs = [om.items_of(om.words_of(t)) for t in texts]
     parent = list(range(len(texts)))
 
     def root(i):
@@ -92,6 +92,13 @@ def test_hot_group_is_one_class_without_its_pairs(spark):
     assert {r["class_id"] for r in om.near_duplicate_classes(docs).collect()} == {0}
 
 
+def test_a_common_line_does_not_link(spark):
+    rng = random.Random(8)
+    texts = [" ".join(["the same line again."] * 60 + [f"v{rng.randrange(10**6)}" for _ in range(60)]) for _ in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert om.near_duplicate_classes(docs).select("class_id").distinct().count() == 50
+
+
 def test_nulls_repeats_and_clashing_columns(spark):
     rows = [(1, "a b c d e f", "k"), (1, "a b c d e f", "k"), (2, "a b c d e f", None), (None, "a b c d e f", "k"), (None, None, None), (3, None, "k"), (4, "", "k"), (5, "x " * 30_000, "k"), (6, "x " * 30_000 + "y", "k")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, content string")
