@@ -11,8 +11,8 @@ from codefacts.operators import changes, decisions, hashes, modules, quality, re
 from codefacts.projection import Facts
 
 CODE = "(path like '%.c' or path like '%.h')"
-FP_SQL = """select project_id, substr(sha256(unhex(string_agg(concat(hex(encode(path)), sha256(text)), '' order by lower(path), path))),1,8) as fingerprint
- from (select *, row_number() over (partition by project_id order by lower(path), path) as rn from {t}) where rn <= 2000 group by project_id"""
+FP_SQL = """select project_id, substr(sha256(string_agg(concat(b,':',h), ',' order by b)),1,8) as fingerprint, 'tree' as algorithm from (
+ select project_id, substr(sha256({k}),1,3) as b, sha256(string_agg(sha256(concat({k},'|',{v})), '' order by sha256(concat({k},'|',{v})))) as h from {t} group by 1, 2) group by project_id"""
 
 
 def src_rules(f: Facts):
@@ -23,12 +23,12 @@ def src_rules(f: Facts):
     return ig.unionByName(tp)
 
 
-@add("a1_project_fingerprint", FP_SQL.format(t="docnew where path not like concat(project_id,'/de/%')"))
+@add("a1_project_fingerprint", FP_SQL.format(k="path", v="sha256(text)", t="docnew where path not like concat(project_id,'/de/%')"))
 def a1(f: Facts):
     return hashes.project_fingerprint(f.file_versions[1], src_rules(f))
 
 
-@add("a2_source_fingerprint", FP_SQL.format(t="docnew"))
+@add("a2_source_fingerprint", FP_SQL.format(k="path", v="sha256(text)", t="docnew"))
 def a2(f: Facts):
     return hashes.source_fingerprint(f.file_versions[1])
 
@@ -58,9 +58,8 @@ def brand_builds(f: Facts):
 BRAND = {"bb": "select module as project_id, file as path, min(p_size) < 40 as compiled from sym join part on p_partkey=ord group by module, file"}
 
 
-@add("a4_build_fingerprint", """
-select project_id, substr(sha256(concat('{"compiled": [', coalesce(string_agg(concat('"',path,'"'), ', ' order by path) filter (where compiled),''), '], "excluded": [',
- coalesce(string_agg(concat('"',path,'"'), ', ' order by path) filter (where not compiled),''), '], "target": "', project_id, '-t"}')),1,8) as fingerprint, 'flat' as algorithm from bb group by project_id""", BRAND)
+@add("a4_build_fingerprint", f"""select project_id, substr(sha256(concat(project_id, '-t|', fingerprint)),1,8) as fingerprint, algorithm
+ from ({FP_SQL.format(k="path", v="case when compiled then 'true' else 'false' end", t="bb")})""", BRAND)
 def a4(f: Facts):
     return hashes.build_fingerprint(brand_build(f), brand_builds(f))
 
@@ -288,7 +287,7 @@ def a22(f: Facts):
 
 @add("a22_count_source_files", "select project_id, count(*) as n from docnew group by project_id")
 def a22c(f: Facts):
-    return scope.count_source_files(f.file_versions[1])
+    return scope.count_source_files(f.file_versions[1], "_index")
 
 
 @add("w3_entry_points", "select module, name, outside_calls, cast(rank as integer) as rank from ents", VIA)

@@ -46,7 +46,7 @@ def w1(f: Facts):
   join (select module, min(ord) as ord from sym group by module) m on contains(lower(module), lower(replace(ask,'#','_'))))) where rn=1""")
 def w2(f: Facts):
     brand = F.replace("p_brand", F.lit("#"), F.lit("_"))
-    ask = F.when(F.col("p_size") % 2 == 0, F.upper(brand)).otherwise(F.substring("p_brand", 4, 99))
+    ask = F.when(F.col("p_size") % 2 == 0, F.upper(brand)).otherwise(F.substr("p_brand", F.lit(4)))
     asked = f.table("part").select(F.lit("firmware").alias("project_id"), ask.alias("a")).distinct()
     clean = asked.select("project_id", F.replace("a", F.lit("#"), F.lit("_")).alias("ask"), F.col("a").alias("orig"))
     mods = f.symbols.groupBy("project_id", "module").agg(F.min("ord").alias("ord"))
@@ -249,7 +249,7 @@ select ask, name from (select a.ask, s.name, row_number() over (partition by a.a
  (select distinct case when ord % 2 = 0 then substr(name, 3) else concat('My', name) end as ask from sym) a join sym s
  on lower(s.name) <> lower(a.ask) and (ends_with(lower(s.name), lower(a.ask)) or ends_with(lower(a.ask), lower(s.name))) where length(a.ask) >= 4) where rn=1""")
 def j15(f: Facts):
-    ask = F.when(F.col("ord") % 2 == 0, F.substring("name", 3, 99)).otherwise(F.concat(F.lit("My"), "name"))
+    ask = F.when(F.col("ord") % 2 == 0, F.substr("name", F.lit(3))).otherwise(F.concat(F.lit("My"), "name"))
     return lookups.weak_symbol_match(f.symbols.select("project_id", ask.alias("ask")), f.symbols).select("ask", "name")
 
 

@@ -24,7 +24,7 @@ def state_inputs(f: Facts):
     """Stored and current fingerprints per source; every third source changes its build, every second its scope."""
     n = F.regexp_extract("project_id", r"(\d+)$", 1).cast("int")
     p = projects(f).withColumn("n", n)
-    old, new = (hashes.source_fingerprint(v).withColumnRenamed("fingerprint", "source_fp") for v in f.file_versions)
+    old, new = (hashes.source_fingerprint(v).drop("algorithm").withColumnRenamed("fingerprint", "source_fp") for v in f.file_versions)
     size = f.file_versions[0].groupBy("project_id").agg(F.count("*").alias("files"))
     stored = p.join(old, "project_id").join(size, "project_id").select("project_id", F.lit("b0").alias("build_fp"), F.lit("s0").alias("scope_fp"), "source_fp", F.lit(100).alias("build_files"), "files")
     current = p.join(new, "project_id").select("project_id", F.when(F.col("n") % 3 == 0, "b1").otherwise("b0").alias("build_fp"), F.when(F.col("n") % 2 == 0, "s1").otherwise("s0").alias("scope_fp"),
@@ -83,7 +83,7 @@ def q21i(f: Facts):
 @add("q25_index_status", """
 select p.project_id, case when right(p.project_id,1)='9' then 'MISSING' when right(p.project_id,1)='7' then 'CORRUPTED' when exists (select 1 from chg where chg.project_id=p.project_id) then 'STALE' else 'VALID' end as status from (select distinct source as project_id from documents) p""", CHG)
 def q25(f: Facts):
-    old, new = (hashes.source_fingerprint(v) for v in f.file_versions)
+    old, new = (hashes.source_fingerprint(v).drop("algorithm") for v in f.file_versions)
     last = F.substring("project_id", -1, 1)
     snap = old.where(last != "9").withColumn("schema_version", F.when(last == "7", "1").otherwise("2"))
     return changes.index_status(snap, new)
@@ -92,7 +92,7 @@ def q25(f: Facts):
 @add("q26_understanding_status", """
 select p.project_id, case when right(p.project_id,1)='9' then 'missing' when exists (select 1 from chg where chg.project_id=p.project_id) then 'outdated' else 'usable' end as status from (select distinct source as project_id from documents) p""", CHG)
 def q26(f: Facts):
-    old, new = (hashes.source_fingerprint(v) for v in f.file_versions)
+    old, new = (hashes.source_fingerprint(v).drop("algorithm") for v in f.file_versions)
     return refresh.understanding_status(old.where(F.substring("project_id", -1, 1) != "9").withColumnRenamed("fingerprint", "based_on"), new)
 
 
@@ -106,7 +106,7 @@ def q26h(f: Facts):
 select p.project_id, d.document, case when exists (select 1 from chg where chg.project_id=p.project_id) then 'source' when d.document='MODULES' then 'module' end as reason from (select distinct source as project_id from documents) p, (values ('MODULES'),('ARCHITECTURE')) d(document)
 where exists (select 1 from chg where chg.project_id=p.project_id) or d.document='MODULES'""", CHG)
 def q27(f: Facts):
-    old, new = (hashes.source_fingerprint(v) for v in f.file_versions)
+    old, new = (hashes.source_fingerprint(v).drop("algorithm") for v in f.file_versions)
     docs = F.explode(F.array(F.lit("MODULES"), F.lit("ARCHITECTURE"))).alias("document")
     manifest = old.select("project_id", docs, F.col("fingerprint").alias("source_fp"), F.lit("b").alias("build_fp"), F.lit(True).alias("uses_build")).withColumn(
         "modules", F.when(F.col("document") == "MODULES", F.array(F.lit("core"))).otherwise(F.array(F.lit("other")))).withColumn("relations", F.array(F.lit("call_graph")))

@@ -35,9 +35,9 @@ def w8(f: Facts):
 
 @add("w7_build_timeline", """
 select task_id, key, kind, sender, content, row_number() over (partition by task_id order by ts, key) - 1 as seq from (
- select task_id, ts, concat('e:',seq) as key, 'evidence' as kind, 'agentx' as sender, concat('run ',seq,' exit=',cast(floor(value) as bigint) % 2) as content from ev where type='TestFinished'
+ select task_id, ts, concat('e:',seq) as key, 'evidence' as kind, 'system' as sender, concat('run ',seq,' exit=',cast(floor(value) as bigint) % 2) as content from ev where type='TestFinished'
  union all select task_id, start_ts, concat('ev:',start_seq), 'tool', null, coalesce(json_extract_string(end_payload,'$.tool'),json_extract_string(start_payload,'$.tool'),'') from pairs
- union all select task_id, ts, concat('ev:',seq), 'state', 'agentx', 'None → None' from ev where type='TaskStateChanged'
+ union all select task_id, ts, concat('ev:',seq), 'state', 'system', 'None → None' from ev where type='TaskStateChanged'
  union all select conv_id, timestamp '2024-01-02' + to_minutes(cast(turn*1000 as bigint)), concat('m:',conv_id,'-',turn), 'message', role, text from conversations)""", PAIRS)
 def w7(f: Facts):
     ev = f.events.where("type = 'TestFinished'").select("project_id", "task_id", F.col("seq").alias("id"), F.col("ts").alias("timestamp"),

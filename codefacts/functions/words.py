@@ -21,10 +21,9 @@ def _split_name(token: Column) -> Column:
 def extract_keywords(text: Column | str) -> Column:
     """Query words of a text in first-seen order, then the aliases of its Chinese terms."""
     raw = F.regexp_extract_all(_c(text), F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))
-    stop = any_of(fixed.STOP_WORDS)
-    kept = F.filter(raw, lambda t: ~F.rlike(F.lower(t), F.lit(f"^{stop}$")))
+    kept = F.filter(raw, lambda t: ~F.lower(t).isin(fixed.STOP_WORDS))
     parts = F.transform(F.flatten(F.transform(kept, _split_name)), lambda p: F.lower(p))
-    own = F.filter(parts, lambda p: (F.length(p) >= 2) & ~F.rlike(p, F.lit(f"^{stop}$")))
+    own = F.filter(parts, lambda p: (F.length(p) >= 2) & ~p.isin(fixed.STOP_WORDS))
     aliases = F.flatten(
         F.array(
             *[

@@ -74,7 +74,7 @@ def comment_only(diffs: DataFrame, text: str = "diff") -> DataFrame:
 
     A line that starts with ``*`` counts as a comment, also ``*p = 1;``. Any ``#`` line is not cosmetic.
     """
-    body = F.trim(F.substring("line", 2, 1_000_000))
+    body = F.trim(F.substr("line", F.lit(2)))
     cosmetic = (body == "") | F.rlike(body, F.lit(r"^(//|/\*|\*)")) | F.rlike(body, F.lit(r"^[{}; \t]+$"))
     lines = diff_lines(diffs, text).where(F.col("kind").isin("add", "del"))
     bad = lines.where(~cosmetic).select(*KEY).distinct().withColumn("_bad", F.lit(True))

@@ -53,7 +53,7 @@ def extract_enum_members(files: DataFrame, text: str = "text") -> DataFrame:
     rows = _blocks(files, "enum", text).select(*FILE, F.col("name").alias("enum"), "block", F.posexplode(F.split("body", ",")).alias("pos", "m")).withColumn("m", F.trim(F.regexp_replace("m", r"\s+", " "))).where("m <> ''")
     raw = F.nullif(F.trim(F.regexp_extract("m", r"=(.*)$", 1)), F.lit(""))
     digits = F.regexp_extract(raw, r"^(0[xX][0-9a-fA-F]+|\d+)[uUlL]{0,3}$", 1)
-    number = F.when(F.startswith(F.lower(digits), F.lit("0x")), F.conv(F.substring(digits, 3, 20), 16, 10).cast("bigint")).otherwise(F.nullif(digits, F.lit("")).cast("bigint"))
+    number = F.when(F.startswith(F.lower(digits), F.lit("0x")), F.conv(F.substr(digits, F.lit(3)), 16, 10).cast("bigint")).otherwise(F.nullif(digits, F.lit("")).cast("bigint"))
     rows = rows.withColumn("raw", raw).withColumn("num", number)
     w = Window.partitionBy(*FILE, "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     anchor = F.last(F.when(F.col("raw").isNotNull(), F.struct(F.col("pos"), F.col("num"))), ignorenulls=True).over(w)

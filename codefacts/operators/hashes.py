@@ -4,15 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from codefacts.functions import fixed
 from codefacts.functions.paths import base_name, is_build_config, is_code_file
 from codefacts.operators.scope import classify_scope
 
-MAX_FILES = 2000
-FLAT_LIMIT = 100_000
-
 
 def content_hash(content: Column | str, digits: int = 16) -> Column:
     return F.substring(F.sha2(F.col(content) if isinstance(content, str) else content, 256), 1, digits)
@@ -29,44 +25,32 @@ def config_hashes(files: DataFrame, content: str = "text") -> DataFrame:
     return files.where(top & wanted).select("project_id", F.col("path").alias("name"), content_hash(content).alias("content_hash"))
 
 
-def fingerprint(files: DataFrame, content: str = "text", max_files: int = MAX_FILES) -> DataFrame:
-    """SHA-256 over (path, SHA-256 of content) of the first files by lower-cased path, eight digits.
+def fingerprint(files: DataFrame, content: str = "text") -> DataFrame:
+    """Complete two-level hash of paths and contents, eight digits, with its ``algorithm``: every file of a project counts."""
+    return tree_fingerprint(files, "path", F.sha2(F.col(content), 256))
 
-    The cap is part of the definition, so the list per project is bounded; the rank is limited before the shuffle.
-    Use ``tree_fingerprint`` where every file must count.
-    """
-    hashed = files.select("project_id", "path", F.sha2(F.col(content), 256).alias("_h"))
-    order = Window.partitionBy("project_id").orderBy(F.lower("path"), "path")
-    first = hashed.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max_files)
-    item = F.struct(F.lower("path").alias("k"), F.col("path"), F.col("_h"))
-    listed = first.groupBy("project_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    blob = F.concat(F.encode(F.lit(""), "UTF-8"), F.aggregate(
-        "items", F.encode(F.lit(""), "UTF-8"), lambda a, x: F.concat(a, F.encode(x["path"], "UTF-8"), F.unhex(x["_h"]))
-    ))
-    return listed.select("project_id", F.substring(F.sha2(blob, 256), 1, 8).alias("fingerprint"))
-
-
-def project_fingerprint(files: DataFrame, rules: DataFrame, content: str = "text", max_files: int = MAX_FILES) -> DataFrame:
+
+def project_fingerprint(files: DataFrame, rules: DataFrame, content: str = "text") -> DataFrame:
     """Fingerprint of the files the scope rules keep."""
-    return fingerprint(classify_scope(files, rules), content, max_files)
+    return fingerprint(classify_scope(files, rules), content)
 
 
-def source_fingerprint(files: DataFrame, content: str = "text", max_files: int = MAX_FILES) -> DataFrame:
+def source_fingerprint(files: DataFrame, content: str = "text") -> DataFrame:
     """Fingerprint of code files only, whatever the scope rules say."""
-    return fingerprint(files.where(is_code_file("path")), content, max_files)
+    return fingerprint(files.where(is_code_file("path")), content)
 
 
-def tree_fingerprint(items: DataFrame, key: str = "path", value: Column | None = None, leaves: int = 4096) -> DataFrame:
-    """Two-level hash of all rows of a project: hash buckets first, then the bucket hashes.
+def tree_fingerprint(items: DataFrame, key: str = "path", value: Column | None = None) -> DataFrame:
+    """Two-level hash of all rows of a project: hash buckets by the key's SHA-256 first, then the bucket hashes.
 
-    A different algorithm from ``fingerprint`` (no cap); a bucket holds 1/4096 of a project.
+    The one algorithm for projects of any size; a bucket holds 1/4096 of a project.
     """
     row = F.sha2(F.concat_ws("|", F.col(key), value if value is not None else F.lit("")), 256)
-    buckets = items.select("project_id", F.pmod(F.xxhash64(key), F.lit(leaves)).alias("_b"), row.alias("_h"))
+    buckets = items.select("project_id", F.substring(F.sha2(F.col(key), 256), 1, 3).alias("_b"), row.alias("_h"))
     inner = buckets.groupBy("project_id", "_b").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("_h")), ""), 256).alias("_h"))
     outer = inner.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("_b", "_h"))).alias("l"))
-    text = F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["_b"].cast("string"), x["_h"])), ",")
-    return outer.select("project_id", F.substring(F.sha2(text, 256), 1, 8).alias("fingerprint"))
+    text = F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["_b"], x["_h"])), ",")
+    return outer.select("project_id", F.substring(F.sha2(text, 256), 1, 8).alias("fingerprint"), F.lit("tree").alias("algorithm"))
 
 
 def _json_text(value: Column) -> Column:
@@ -99,23 +83,9 @@ def scope_fingerprint(rules: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.select("project_id", F.substring(F.sha2(blob, 256), 1, 8).alias("fingerprint"))
 
 
-def build_fingerprint(build_files: DataFrame, builds: DataFrame, flat_limit: int = FLAT_LIMIT) -> DataFrame:
-    """Hash of target, compiled and excluded files; null for an unresolved build.
-
-    Projects up to ``flat_limit`` files use the hash of the canonical JSON (``algorithm`` flat); larger ones the
-    two-level hash (tree), so no list grows past the limit.
-    """
+def build_fingerprint(build_files: DataFrame, builds: DataFrame) -> DataFrame:
+    """Two-level hash of target, compiled and excluded files; null for an unresolved build, the target alone without files."""
     rows = build_files.select("project_id", "path", "compiled").distinct()
-    sizes = rows.groupBy("project_id").agg(F.count("*").alias("n"))
-    sized = rows.join(sizes, "project_id")
-    flat = sized.where(F.col("n") <= flat_limit).groupBy("project_id").agg(
-        _json_list(F.collect_list(F.when(F.col("compiled"), F.col("path")))).alias("c"),
-        _json_list(F.collect_list(F.when(~F.col("compiled"), F.col("path")))).alias("x"),
-    )
-    tree = tree_fingerprint(sized.where(F.col("n") > flat_limit), "path", F.col("compiled").cast("string")).withColumnRenamed("fingerprint", "tree")
-    blob = F.concat(F.lit('{"compiled": '), F.coalesce("c", F.lit("[]")), F.lit(', "excluded": '), F.coalesce("x", F.lit("[]")),
-                    F.lit(', "target": '), F.coalesce(_json_text(F.col("target")), F.lit("null")), F.lit("}"))
-    out = builds.join(flat, "project_id", "left").join(tree, "project_id", "left")
-    value = F.when(F.col("tree").isNotNull(), F.substring(F.sha2(F.concat_ws("|", "target", "tree"), 256), 1, 8)).otherwise(F.substring(F.sha2(blob, 256), 1, 8))
-    return out.select("project_id", F.when(F.col("resolved"), value).alias("fingerprint"),
-                      F.when(F.col("tree").isNotNull(), "tree").otherwise("flat").alias("algorithm"))
+    tree = tree_fingerprint(rows, "path", F.col("compiled").cast("string")).select("project_id", F.col("fingerprint").alias("tree"))
+    value = F.substring(F.sha2(F.concat_ws("|", "target", "tree"), 256), 1, 8)
+    return builds.join(tree, "project_id", "left").select("project_id", F.when(F.col("resolved"), value).alias("fingerprint"), F.lit("tree").alias("algorithm"))

@@ -213,7 +213,7 @@ def ignored_top_dirs(rules: DataFrame) -> DataFrame:
     )
 
 
-def count_source_files(files: DataFrame, index_dir: str = "_codebase_index") -> DataFrame:
+def count_source_files(files: DataFrame, index_dir: str) -> DataFrame:
     """C and C++ files per project outside hidden folders and the index folder."""
     top = top_dir("path")
     wanted = suffix_of("path").isin(".c", ".h", ".cpp", ".hpp", ".cc", ".cxx") & ~F.startswith("path", F.lit("."))

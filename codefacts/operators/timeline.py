@@ -36,7 +36,7 @@ def merged_payload(start: Column, end: Column) -> Column:
 
 def build_timeline(
     messages: DataFrame | None = None, decisions: DataFrame | None = None, evidence: DataFrame | None = None,
-    changes: DataFrame | None = None, events: DataFrame | None = None, block: int = 1_000_000,
+    changes: DataFrame | None = None, events: DataFrame | None = None, block: int = 1_000_000, system: str = "system",
 ) -> DataFrame:
     """All facts of a task in one order (time, then key); ``seq`` counts from 0 per task.
 
@@ -53,9 +53,9 @@ def build_timeline(
     if messages is not None:
         part(messages, "created_at", F.concat(F.lit("m:"), text("id")), "message", F.col("sender"), text("content"), structured_payload("content"))
     if decisions is not None:
-        part(decisions, "created_at", F.concat(F.lit("d:"), text("id")), "decision", F.lit("agentx"), text("reason"), F.lit("decision"))
+        part(decisions, "created_at", F.concat(F.lit("d:"), text("id")), "decision", F.lit(system), text("reason"), F.lit("decision"))
     if evidence is not None:
-        part(evidence, "timestamp", F.concat(F.lit("e:"), text("id")), "evidence", F.lit("agentx"), F.concat(text("command"), F.lit(" exit="), F.coalesce(F.col("exit_code").cast("string"), F.lit("None"))), none)
+        part(evidence, "timestamp", F.concat(F.lit("e:"), text("id")), "evidence", F.lit(system), F.concat(text("command"), F.lit(" exit="), F.coalesce(F.col("exit_code").cast("string"), F.lit("None"))), none)
     if changes is not None:
         part(changes, "timestamp", F.concat(F.lit("c:"), text("id")), "change", F.lit("executor"), F.concat_ws(" ", "operation", "file"), none)
     if events is not None:
@@ -64,7 +64,7 @@ def build_timeline(
         part(pairs.withColumn("_p", payload), "start_ts", F.concat(F.lit("ev:"), text("start_seq")), "tool", none, F.coalesce(F.try_element_at("_p", F.lit("tool")), F.lit("")), none)
         moved = events.where("type = 'TaskStateChanged'")
         arrow = F.concat(F.coalesce(F.get_json_object("payload", "$.from"), F.lit("None")), F.lit(" → "), F.coalesce(F.get_json_object("payload", "$.to"), F.lit("None")))
-        part(moved, "ts", F.concat(F.lit("ev:"), text("seq")), "state", F.lit("agentx"), arrow, none)
+        part(moved, "ts", F.concat(F.lit("ev:"), text("seq")), "state", F.lit(system), arrow, none)
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)

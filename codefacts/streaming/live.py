@@ -39,8 +39,8 @@ def progress(events: DataFrame) -> DataFrame:
 def live_task_state(moves: DataFrame) -> DataFrame:
     """Running task state: ``moves(project_id, task_id, seq, from, to)``; changes after a terminal state are ignored.
 
-    State per task is four values. Rows of one batch are applied in ``seq`` order; a batch is folded as Arrow chunks
-    arrive, one task never needs all its rows at once.
+    State per task is four values. Rows of one batch are applied in ``seq`` order; one task's rows of one batch have to fit
+    a worker.
     """
     terminal = set(fixed.TERMINAL_STATES)
 
@@ -56,7 +56,7 @@ def live_task_state(moves: DataFrame) -> DataFrame:
         yield pd.DataFrame({"project_id": [key[0]], "task_id": [key[1]], "state": [name], "iteration": [iteration], "last_seq": [last]})
 
     return moves.groupBy("project_id", "task_id").applyInPandasWithState(
-        fold, "project_id string, task_id bigint, state string, iteration bigint, last_seq bigint",
+        fold, f"project_id string, task_id {dict(moves.dtypes)['task_id']}, state string, iteration bigint, last_seq bigint",
         "state string, iteration bigint, last_seq bigint, ended boolean", "update", GroupStateTimeout.NoTimeout)
 
 
@@ -80,7 +80,7 @@ def live_tool_pairs(events: DataFrame) -> DataFrame:
 
     rows = events.where(F.col("type").isin("ToolStarted", "ToolFinished"))
     return rows.groupBy("project_id", "task_id").applyInPandasWithState(
-        pair, "project_id string, task_id bigint, start_seq bigint, end_seq bigint", "waiting array<bigint>", "append", GroupStateTimeout.NoTimeout)
+        pair, f"project_id string, task_id {dict(events.dtypes)['task_id']}, start_seq bigint, end_seq bigint", "waiting array<bigint>", "append", GroupStateTimeout.NoTimeout)
 
 
 def stage_monitor(events: DataFrame, interval_seconds: int = 15) -> DataFrame:
@@ -120,19 +120,21 @@ def stage_monitor(events: DataFrame, interval_seconds: int = 15) -> DataFrame:
 def maintain_facts(files: DataFrame, root: str, checkpoint: str, large_change: int | None = None) -> StreamingQuery:
     """Keep a fact snapshot up to date from a stream of changed files ``(project_id, path, text)``.
 
-    Every batch replaces the facts of its files and commits a new snapshot under the batch id; a replayed batch is
-    skipped by the manifest. A project with more changed files than ``large_change`` is set aside as
-    REINDEX_REQUIRED and keeps its old facts.
+    Every batch replaces the facts of all its files and commits a new snapshot under the batch id; a replayed batch is
+    skipped by the manifest. Of several versions of a file in a batch the one with the largest ``seq`` holds (without that
+    column the largest text, so reruns agree). A project with more changed files than ``large_change`` is also listed in
+    ``set_aside`` as REINDEX_REQUIRED: a full refresh is advised, nothing is lost without it.
     """
     limit = fixed.FRESHNESS["source_large_files"] if large_change is None else large_change
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         status, old = store.read_index(spark, root)
-        counts = batch.groupBy("project_id").agg(F.count("*").alias("n"))
+        counts = batch.groupBy("project_id").agg(F.count_distinct("path").alias("n"))
         known = old["files"].select("project_id").distinct() if status == "VALID" else counts.select("project_id").limit(0)
         aside = counts.where(F.col("n") > limit).join(known, "project_id", "left_semi").select("project_id", "n")
-        rows = batch.join(aside.select("project_id"), "project_id", "left_anti")
+        order = F.col("seq" if "seq" in batch.columns else "text")
+        rows = batch.groupBy("project_id", "path").agg(F.max_by("text", order).alias("text"))
         fresh = refresh.extract_facts(rows)
         keys = rows.select("project_id", "path").distinct()
         tables = {}

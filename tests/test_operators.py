@@ -149,3 +149,12 @@ def test_words_and_records(spark):
     assert one.select(records.structured_payload(F.lit("x {bad} y"))).first()[0] is None
     df = spark.createDataFrame([("uses Storage", ["Store"]), ("uses Sto here", ["Store"]), ("plain words", []), ("plain words", ["A"])], "t string, a array<string>")
     assert [r[0] for r in df.select(words.grounded("t", "a")).collect()] == [False, True, False, True]
+
+
+def test_every_file_counts_in_a_fingerprint(spark):
+    from codefacts.operators import hashes
+
+    rows = [("p", f"f{i:05d}.c", "x") for i in range(2001)]
+    base = hashes.fingerprint(spark.createDataFrame(rows, "project_id string, path string, text string")).first()
+    last = hashes.fingerprint(spark.createDataFrame([*rows[:-1], ("p", rows[-1][1], "y")], "project_id string, path string, text string")).first()
+    assert base["fingerprint"] != last["fingerprint"]
