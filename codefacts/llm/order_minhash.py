@@ -40,8 +40,6 @@ TRIPLES = 96
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xFF51AFD7ED558CCD)
-#: An odd multiplier per hash function; the items they multiply are mixed before.
-_ODD = np.array([(i + 1) * 0x5851F42D4C957F2D * 0x2545F4914F6CDD1D % 2**64 | 1 for i in range(64)], np.uint64)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -57,6 +55,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+#: An odd multiplier per hash function, drawn independently; the items they multiply are mixed before.
+_ODD = mixed(mixed(np.arange(1, 1025, dtype=np.uint64) * _MIX)) | np.uint64(1)
+
+
 def shingles(codes: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     """Hash of every run of ``k`` words in text order; a shorter text is one shingle, an empty one none."""
     if len(codes) == 0:
