@@ -9,21 +9,24 @@ both less that subsequence (the Jaccard similarity that respects order); a bande
 Groups of copies are never paired with each other. Equal word sequences collapse to one content first. In rounds, each
 content is aligned with one head per bucket (a star) unless both are connected by then; every bucket has a head of its own
 choosing, so a loose family meets many of its members; the last rounds take buckets of three sketches together. What still
-lies outside the largest component of such a bucket is aligned with the contents of other components in it. A tight group of
-a million near copies thus costs about a million alignments. A loose family whose members are alike but mostly below the
-threshold still costs, for each member that links to nothing, one alignment per member it shares a bucket with.
+lies outside the largest component of such a bucket is aligned with the contents of other components in it, unless their
+signatures differ by six standard deviations more than those of a pair at the threshold. A tight group of a million near
+copies thus costs about a million alignments. In a loose family whose members are alike but mostly below the threshold, a
+member that links to nothing still has its signature compared with each member it shares a bucket with.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 from itertools import combinations
+from operator import add
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codefacts.llm.common import components
@@ -37,6 +40,8 @@ SIMILARITY = 0.8
 ROUNDS = 4
 #: Triples of sketches whose buckets the last rounds use.
 TRIPLES = 96
+#: Bits of the signature that tells how alike two contents of a crowded bucket are before their texts are fetched.
+BITS = 1024
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xFF51AFD7ED558CCD)
@@ -56,7 +61,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 #: An odd multiplier per hash function, drawn independently; the items they multiply are mixed before.
-_ODD = mixed(mixed(np.arange(1, 1025, dtype=np.uint64) * _MIX)) | np.uint64(1)
+_ODD = mixed(mixed(np.arange(1, BITS + 1, dtype=np.uint64) * _MIX)) | np.uint64(1)
 
 
 def shingles(codes: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -210,6 +215,27 @@ def _verified(threshold: float):
     return rows
 
 
+def signature(items: np.ndarray) -> np.ndarray:
+    """One bit per hash function: a bit of its smallest item. Two texts of Jaccard similarity s differ in (1 - s) / 2 of the bits."""
+    least = np.zeros(BITS, np.uint64)
+    rows = max(1, 200_000 // max(1, len(items)))
+    for i in range(0, BITS if len(items) else 0, rows):
+        least[i : i + rows] = (items[None, :] * _ODD[i : i + rows, None]).min(axis=1)
+    return np.packbits((mixed(least) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+
+
+def _signature_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        yield pd.DataFrame({"content": frame["content"], "bits": [signature(items_of(np.frombuffer(c, np.uint32))) for c in frame["codes"]]})
+
+
+def _plausible(a: str, b: str, threshold: float) -> Column:
+    """Signatures differ by at most six standard deviations more than at ``threshold``; the shared items bound the alignment."""
+    share = (1 - threshold) / 2
+    most = int(BITS * share + 6 * (BITS * share * (1 - share)) ** 0.5)
+    return reduce(add, (F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(BITS // 64))) <= most
+
+
 def _triples() -> list[tuple[int, int, int]]:
     """TRIPLES of the sketches, spread evenly over all."""
     every = list(combinations(range(SKETCHES), 3))
@@ -282,11 +308,13 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY) -> Da
     for turns in (8, 1):  # texts that share a triple are alike, so their heads settle most of what is left
         star_round(bucketed(keyed.where(F.col("i") % turns == 0).drop("component")))
         keyed = outside(keyed.drop("component"))
+    crowd = codes.join(keyed.select("content").distinct(), "content", "left_semi").mapInPandas(_signature_rows, "content binary, bits array<bigint>")
+    keyed = cut_lineage(keyed.join(crowd, "content"))
     tops = keyed.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("top"))
-    rest = keyed.join(tops, "key").where("component <> top").select("key", F.col("content").alias("x"), F.col("n").alias("n_a"), F.col("component").alias("cx"), "top")
-    every = keyed.select("key", F.col("content").alias("y"), F.col("n").alias("n_b"), F.col("component").alias("cy"))
+    rest = keyed.join(tops, "key").where("component <> top").select("key", F.col("content").alias("x"), F.col("n").alias("n_a"), F.col("component").alias("cx"), F.col("bits").alias("bits_x"), "top")
+    every = keyed.select("key", F.col("content").alias("y"), F.col("n").alias("n_b"), F.col("component").alias("cy"), F.col("bits").alias("bits_y"))
     once = (F.col("cy") == F.col("top")) | (F.col("x") < F.col("y"))  # a pair of two outsiders comes from both ends
-    across = rest.join(every, (rest["key"] == every["key"]) & (F.col("cx") != F.col("cy")) & once & alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    across = rest.join(every, (rest["key"] == every["key"]) & (F.col("cx") != F.col("cy")) & once & alike & _plausible("bits_x", "bits_y", threshold)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     final = components(edges.unionByName(links(across))).withColumnRenamed("node", "content")
     named = contents.select("content", "first_id").join(final, "content", "left").withColumn("component", F.coalesce("component", "content"))
     least = named.groupBy("component").agg(F.min("first_id").alias("class_id"))
