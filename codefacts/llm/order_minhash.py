@@ -1,7 +1,7 @@
 """Near duplicates by Order MinHash with banded alignment.
 
-A document is its sequence of five-word shingles, the repeats of one told apart by an occurrence number (up to the
-second). One sketch takes the few shingles with the smallest hashes and keeps them in text order, so it is equal for two texts only when both
+A document is its sequence of five-word shingles. One sketch takes the few shingles with the smallest hashes, all repeats
+of a shingle told apart by an occurrence number, and keeps them in text order, so it is equal for two texts only when both
 hold the same sample in the same order: that follows edit similarity, not just set overlap. Texts that share a sketch are
 candidates. The similarity of a pair is the longest common subsequence of the two shingle sequences over the shingles of
 both less that subsequence (the Jaccard similarity that respects order); a banded alignment decides it exactly.
@@ -35,7 +35,6 @@ from codefacts.session import cut_lineage
 SHINGLE = 5
 SKETCHES = 18
 TAKEN = 3
-OCCURRENCES = 2
 SIMILARITY = 0.8
 ROUNDS = 4
 #: Triples of sketches whose buckets the last rounds use.
@@ -91,13 +90,11 @@ def occurrences(hashes: np.ndarray) -> np.ndarray:
 def items_of(words: list[bytes] | np.ndarray) -> np.ndarray:
     """The occurrence-labelled shingles of a text in text order, from its words or their codes.
 
-    Occurrences past the OCCURRENCES-th are left out: one line repeated hundreds of times would make texts alike
-    that share nothing else.
+    They are the items of sketches and signatures only. The alignment takes the shingles as they are: after one edit in
+    a repeated passage the labels of all later repeats shift, their order does not.
     """
     hashes = shingles(words if isinstance(words, np.ndarray) else word_codes(words))
-    seen = occurrences(hashes)
-    kept = seen < OCCURRENCES
-    return mixed(hashes[kept] + seen[kept].astype(np.uint64) * _MIX)
+    return mixed(hashes + occurrences(hashes).astype(np.uint64) * _MIX)
 
 
 def sketches(items: np.ndarray, count: int = SKETCHES, taken: int = TAKEN) -> list[int]:
@@ -153,7 +150,7 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> floa
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
-    """Items of both, repeats counted: the longest common subsequence is no longer."""
+    """Shingles of both, repeats counted: the longest common subsequence is no longer."""
     both = np.sort(np.concatenate([x + occurrences(x).astype(np.uint64) * _MIX for x in (a, b)]))
     return int((both[1:] == both[:-1]).sum())
 
@@ -208,7 +205,7 @@ def _code_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _verified(threshold: float):
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            seq = lambda x: items_of(np.frombuffer(x, np.uint32))
+            seq = lambda x: shingles(np.frombuffer(x, np.uint32))
             found = [aligned(seq(x), seq(y), threshold) for x, y in zip(frame["codes_a"], frame["codes_b"], strict=True)]
             yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "similarity": [x if x is not None else -1.0 for x in found]})
 

@@ -114,3 +114,27 @@ def test_nulls_repeats_and_clashing_columns(spark):
 def test_components_of_a_chain(spark, n):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(None, 1), (90, 90)], "a bigint, b bigint")
     assert {(r["node"], r["component"]) for r in components(edges).collect()} == {(i, 0) for i in range(n + 1)}
+
+
+def plain_classes(texts):
+    """By the shingles of whole texts, no occurrence left out."""
+    runs = [om.shingles(om.word_codes(t.encode().split())) for t in texts]
+    joined = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if joined[i] != joined[j] and ordered_similarity(runs[i], runs[j]) >= 0.8:
+                low, high = sorted((joined[i], joined[j]))
+                joined = [low if x == high else x for x in joined]
+    return joined
+
+
+def test_all_repeats_of_a_passage_count(spark):
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(100)]
+    edited = [w if rng.random() > 0.01 else f"e{rng.randrange(10**6)}" for w in passage * 20]
+    other = [f"q{i}" for i in range(400)]
+    texts = [" ".join(t) for t in (passage * 20, edited, passage * 20 + other, passage * 12, passage * 4 + other, other + passage * 4)]
+    want = plain_classes(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(10, "x " * 30_000), (11, "x " * 30_000 + "y")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["class_id"] for r in om.near_duplicate_classes(docs).collect()}
+    assert want[1] == 0 and [got[i] for i in range(len(texts))] == want and (got[10], got[11]) == (10, 10)
