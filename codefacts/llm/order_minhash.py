@@ -8,9 +8,10 @@ both less that subsequence (the Jaccard similarity that respects order); a bande
 
 Groups of copies are never paired with each other. Equal word sequences collapse to one content first. In rounds, each
 content is aligned with one head per bucket (a star) unless both are connected by then; every bucket has a head of its own
-choosing, so a loose family meets many of its members; the last rounds take buckets of three sketches together. What still
-lies outside the largest component of such a bucket is aligned with the contents of other components in it, unless their
-signatures differ by five standard deviations more than those of a pair at the threshold. A tight group of a million near
+choosing, so a loose family meets many of its members; the last star rounds take buckets of three sketches together. What then
+lies outside the largest component of a bucket of one sketch is aligned with the contents of other components in it, unless
+their signatures differ by five standard deviations more than those of a pair at the threshold. So every pair that shares a
+sketch at all is connected or compared. A tight group of a million near
 copies thus costs about a million alignments. In a loose family whose members are alike but mostly below the threshold, a
 member that links to nothing still has its signature compared with each member it shares a bucket with.
 """
@@ -37,7 +38,7 @@ SKETCHES = 18
 TAKEN = 3
 SIMILARITY = 0.8
 ROUNDS = 4
-#: Triples of sketches whose buckets the last rounds use.
+#: Triples of sketches whose buckets the last star rounds use; the pass after them covers all sketches.
 TRIPLES = 96
 #: Bits of the signature that tells how alike two contents of a crowded bucket are before their texts are fetched.
 BITS = 2048
@@ -233,12 +234,12 @@ def _plausible(a: str, b: str, threshold: float) -> Column:
     return reduce(add, (F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(BITS // 64))) <= most
 
 
-def _first_triple(a: str, b: str) -> Column:
-    """Position of the first triple whose sketches two contents share: the one bucket that lists their pair."""
-    mask = reduce(add, (F.when(F.get(a, i) == F.get(b, i), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(SKETCHES)))
-    wanted = F.array(*[F.lit(sum(1 << i for i in t)) for t in _triples()])
-    held = lambda m: F.transform(wanted, lambda w: w.bitwiseAND(m) == w)
-    return F.get(F.transform(F.array(mask), lambda m: F.array_position(held(m), True) - 1), 0)  # binds the mask once
+def _first_sketch(a: str, b: str) -> Column:
+    """Position of the first sketch two contents share: the one bucket that lists their pair."""
+    found = F.lit(None).cast("int")
+    for i in reversed(range(SKETCHES)):
+        found = F.when(F.get(a, i) == F.get(b, i), F.lit(i)).otherwise(found)
+    return found
 
 
 def _triples() -> list[tuple[int, int, int]]:
@@ -313,13 +314,14 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY) -> Da
     for turns in (8, 1):  # texts that share a triple are alike, so their heads settle most of what is left
         star_round(bucketed(keyed.where(F.col("i") % turns == 0).drop("component")))
         keyed = outside(keyed.drop("component"))
+    keyed = outside(singles.drop("head"))
     crowd = codes.join(keyed.select("content").distinct(), "content", "left_semi").mapInPandas(_signature_rows, "content binary, bits array<bigint>")
     keyed = cut_lineage(keyed.join(crowd, "content").join(contents.select("content", "keys"), "content"))
     tops = keyed.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("top"))
     rest = keyed.join(tops, "key").where("component <> top").select("key", F.col("content").alias("x"), F.col("n").alias("n_a"), F.col("component").alias("cx"), F.col("bits").alias("bits_x"), F.col("keys").alias("keys_x"), "i", "top")
     every = keyed.select("key", F.col("content").alias("y"), F.col("n").alias("n_b"), F.col("component").alias("cy"), F.col("bits").alias("bits_y"), F.col("keys").alias("keys_y"))
     once = (F.col("cy") == F.col("top")) | (F.col("x") < F.col("y"))  # a pair of two outsiders comes from both ends
-    listed = _plausible("bits_x", "bits_y", threshold) & (_first_triple("keys_x", "keys_y") == F.col("i"))
+    listed = (_first_sketch("keys_x", "keys_y") == F.col("i")) & _plausible("bits_x", "bits_y", threshold)
     across = rest.join(every, (rest["key"] == every["key"]) & (F.col("cx") != F.col("cy")) & once & alike & listed).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     final = components(edges.unionByName(links(across))).withColumnRenamed("node", "content")
     named = contents.select("content", "first_id").join(final, "content", "left").withColumn("component", F.coalesce("component", "content"))

@@ -138,3 +138,19 @@ def test_all_repeats_of_a_passage_count(spark):
     docs = spark.createDataFrame(list(enumerate(texts)) + [(10, "x " * 30_000), (11, "x " * 30_000 + "y")], "doc_id bigint, text string")
     got = {r["doc_id"]: r["class_id"] for r in om.near_duplicate_classes(docs).collect()}
     assert want[1] == 0 and [got[i] for i in range(len(texts))] == want and (got[10], got[11]) == (10, 10)
+
+
+def test_every_pair_of_a_loose_family_that_shares_a_sketch_is_compared(spark):
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(150)]
+
+    def edited(places):
+        return " ".join(f"e{rng.randrange(10**6)}" if i in places else w for i, w in enumerate(base))
+
+    places = [set(rng.sample(range(5, 145), 3)) for _ in range(250)]
+    texts = [edited(p) for p in places for _ in range(2)]  # two that differ from the base in the same places share base words only
+    runs = [om.shingles(om.word_codes(om.words_of(t))) for t in texts]
+    pairs = [(j, i) for i in range(len(texts)) for j in range(i) if om.aligned(runs[j], runs[i]) is not None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(6)
+    got = {r["doc_id"]: r["class_id"] for r in om.near_duplicate_classes(docs).collect()}
+    assert len(pairs) > 200 and [(a, b) for a, b in pairs if got[a] != got[b]] == []
