@@ -2,17 +2,22 @@
 
 Base patterns find assignments, access keys and hex runs. A wider context pattern finds further values that stand where a
 credential stands; each is cut into words, dates, repeats, keyboard walks and brute-force spans at minimum cost, and is
-reported when the cheapest cut still takes many guesses. Placeholders such as ``changeme123`` cost few guesses.
+reported when the cheapest cut still takes many guesses. Placeholders such as ``changeme123`` cost few guesses. The words are a
+fixed list of common words of passwords and then the words of the texts themselves by count.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from codefacts.session import cut_lineage, drop_lineage
 
 KINDS = ("assign", "access", "hex", "guess")
 #: Values that need at least 10 to this power of guesses are secrets.
@@ -37,7 +42,11 @@ WORDS = (
     "account secure security access temp temporary the and for with this that not is it my new old"
 ).split()
 RANKS = {w: i + 1 for i, w in enumerate(WORDS)}
-LONGEST = max(map(len, WORDS))
+#: Words of the texts that follow the fixed ones in rank, the rows a word must stand in, and the letters of the longest.
+CORPUS_WORDS, LEAST_ROWS, LONGEST_WORD = 50_000, 2, 32
+LETTERS = re.compile(r"[^\W\d_]{3,}")
+#: Counted words a worker holds before it hands them on.
+HELD = 200_000
 # Neighbours on a keyboard and in the alphabet.
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz", "qazwsxedcrfvtgbyhnujm")
 NEXT = {(a, b) for row in ROWS for a, b in [*zip(row, row[1:], strict=False), *zip(row[1:], row, strict=False)]}
@@ -49,8 +58,11 @@ def _size(c: str) -> float:
     return math.log10(10 if "0" <= c <= "9" else 26 if "a" <= c <= "z" or "A" <= c <= "Z" else 33 if c < "\x80" else 100)
 
 
-def guess_cost(value: str) -> float:
-    """Log10 of the guesses of the cheapest cut of ``value``; linear in its length. The empty value costs 0."""
+def guess_cost(value: str, ranks: Mapping[str, int] = RANKS, longest: int = LONGEST_WORD) -> float:
+    """Log10 of the guesses of the cheapest cut of ``value``; linear in its length. The empty value costs 0.
+
+    ``ranks`` has the rank of each word in lower case, none longer than ``longest``.
+    """
     n, low = len(value), value.lower()
     plain = low.translate(LEET)
     best = [0.0] + [math.inf] * n
@@ -75,10 +87,10 @@ def guess_cost(value: str) -> float:
                 cost = min(cost, best[i - times * unit] + math.log10(times + 1))
         for start, price in dates.get(i, ()):
             cost = min(cost, best[start] + price)
-        for k in range(2, min(LONGEST, i) + 1):
-            rank = RANKS.get(low[i - k : i])
+        for k in range(2, min(longest, i) + 1):
+            rank = ranks.get(low[i - k : i])
             leet = rank is None
-            rank = RANKS.get(plain[i - k : i]) if leet else rank
+            rank = ranks.get(plain[i - k : i]) if leet else rank
             if rank:
                 piece = value[i - k : i]
                 cased = not (piece.islower() or piece == piece.lower())
@@ -87,43 +99,85 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
-def _kinds_of(value: str) -> int:
-    return sum(map(bool, (re.search("[a-z]", value), re.search("[A-Z]", value), re.search("[0-9]", value), re.search("[^A-Za-z0-9]", value))))
-
-
-def find_secrets(text: str | None) -> list[tuple[int, int, int, float]]:
+def find_secrets(text: str | None, ranks: Mapping[str, int] = RANKS) -> list[tuple[int, int, int, float]]:
     """(start, position in KINDS, end, log10 guesses) of all secrets in ``text``, by start and kind."""
     if not text:
         return []
     spans = []
+    cost_of = lambda value: guess_cost(value, ranks)
     keyed = "=" in text or ":" in text
     if keyed:
-        spans += [(m.start(), 0, m.end(), guess_cost(m[1])) for m in ASSIGN.finditer(text) if len(m[1]) >= LEAST_ASSIGN]
+        spans += [(m.start(), 0, m.end(), cost_of(m[1])) for m in ASSIGN.finditer(text) if len(m[1]) >= LEAST_ASSIGN]
     if "AKIA" in text:
-        spans += [(m.start(), 1, m.end(), guess_cost(m[0])) for m in ACCESS.finditer(text) if len(m[0]) >= LEAST_ACCESS]
-    spans += [(m.start(), 2, m.end(), guess_cost(m[0])) for m in HEX.finditer(text)]
+        spans += [(m.start(), 1, m.end(), cost_of(m[0])) for m in ACCESS.finditer(text) if len(m[0]) >= LEAST_ACCESS]
+    spans += [(m.start(), 2, m.end(), cost_of(m[0])) for m in HEX.finditer(text)]
     if keyed or " is " in text:
         taken = [(s, e) for s, _, e, _ in spans]
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip(".!?)")
             end = m.start(1) + len(value)
-            if len(value) >= 6 and _kinds_of(value) >= 2 and not any(s < end and m.start() < e for s, e in taken):
-                cost = guess_cost(value)
+            if len(value) >= 6 and not any(s < end and m.start() < e for s, e in taken):
+                cost = cost_of(value)
                 if cost >= LEAST_GUESSES:
                     spans.append((m.start(), 3, end, cost))
     return sorted(spans)
 
 
-def _rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def words_in(text: str | None) -> set[str]:
+    """The words of ``text`` in lower case, without those of values in credential context: a secret does not make itself a word."""
+    if not text:
+        return set()
+    found = set(LETTERS.findall(text.lower()))
+    for pattern in (ASSIGN, CONTEXT):
+        for m in pattern.finditer(text) if "=" in text or ":" in text or " is " in text else ():
+            found.difference_update(LETTERS.findall(m[1].lower()))
+    return found
+
+
+def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held: Counter[str] = Counter()
     for frame in frames:
-        found = [[{"kind": k, "start": s, "end": e, "log10_guesses": g} for s, k, e, g in find_secrets(t)] for t in frame["text"]]
-        yield pd.DataFrame({"doc_id": frame["doc_id"], "spans": found})
+        for text in frame["text"]:
+            held.update(words_in(text))
+            if len(held) > HELD:
+                yield pd.DataFrame(held.items(), columns=["word", "n"])
+                held.clear()
+    yield pd.DataFrame(held.items(), columns=["word", "n"])
+
+
+def word_ranks(docs: DataFrame) -> dict[str, int]:
+    """Ranks of the fixed words and, after them, of the most frequent words of ``docs`` by rows that hold them.
+
+    All words above a count are taken, the lowest count that CORPUS_WORDS of them allow, so only these reach the driver.
+    """
+    counts = docs.select("text").mapInPandas(_counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = cut_lineage(counts.where((F.col("n") >= LEAST_ROWS) & (F.length("word") <= LONGEST_WORD) & ~F.col("word").isin(WORDS)))
+    least, room = None, CORPUS_WORDS
+    for level in sorted(counts.groupBy("n").agg(F.count("*").alias("words")).collect(), reverse=True):
+        room -= level["words"]
+        if room < 0:
+            break
+        least = level["n"]
+    found = sorted((-r["n"], r["word"]) for r in counts.where(F.col("n") >= F.lit(least)).collect())
+    drop_lineage(counts)
+    return RANKS | {w: i for i, (_, w) in enumerate(found, len(WORDS) + 1)}
+
+
+def _rows(ranks: Mapping[str, int]):
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [[{"kind": k, "start": s, "end": e, "log10_guesses": g} for s, k, e, g in find_secrets(t, ranks)] for t in frame["text"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "spans": found})
+
+    return rows
 
 
 def secrets(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``spans`` (kind as position in KINDS, start, end, log10_guesses), ordered by start and kind.
 
     One row per row of ``docs``, repeated rows too; positions are code points, ends exclusive. A null or empty text has no
-    spans; other columns are ignored; the empty table gives no rows. Work is per text, there is no shuffle.
+    spans; other columns are ignored; the empty table gives no rows. The words are counted first: one shuffle of counts, of
+    which at most the CORPUS_WORDS most frequent reach the driver. The rest of the work is per text.
     """
-    return docs.select("doc_id", "text").mapInPandas(_rows, "doc_id bigint, spans array<struct<kind:int,start:bigint,end:bigint,log10_guesses:double>>")
+    ranks = word_ranks(docs)
+    return docs.select("doc_id", "text").mapInPandas(_rows(ranks), "doc_id bigint, spans array<struct<kind:int,start:bigint,end:bigint,log10_guesses:double>>")

@@ -129,3 +129,13 @@ def test_guess_cost():
 def test_context_values():
     kinds = lambda t: [s[1] for s in secrets.find_secrets(t)]
     assert kinds("pwd: hX9$kq2!Lm and more") == [3] and kinds("pwd: changeme123") == [] and kinds("the compass is turning") == []
+
+
+def test_values_of_one_character_class_are_costed(spark):
+    strong = ["pwd: zqxvkjwpmtrhgbfy", "passphrase = QZXVKJWPMTRHGB", "auth: 83920174658291", "password: kqzvwxyjpt"]
+    weak = ["pwd: unbelievable", "passphrase = harvestmeadow", "auth: 12345678", "the password is unbelievable", "pwd: qwertyuiop"]
+    prose = ["An unbelievable harvest.", "The meadow was unbelievable after the harvest.", "A meadow."]
+    docs = spark.createDataFrame(list(enumerate(strong * 2 + weak + prose)), "doc_id bigint, text string")
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.secrets(docs).collect()}
+    assert all(3 in got[i] or 0 in got[i] for i in range(8)), got
+    assert not any(got[i] for i in range(8, len(got))), got
