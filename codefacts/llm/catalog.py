@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codefacts.llm import compression, host_rules, metric_join, mixing, order_minhash, packing, pii, secrets, toxicity, url_lists
-from codefacts.llm.common import table
+from codefacts.llm import (
+    compression, genetic_packing, host_rules, metric_join, mixing, order_minhash, packing, pii, runs, secrets, shared_search, toxicity, url_lists,
+)
+from codefacts.llm.common import WORD, table, text_or_empty
 
 
 def fold(modulus: int) -> Column:
@@ -101,8 +103,46 @@ def op10_host_rules(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = runs.periodic_runs(docs.withColumn("text", _repeating(F.col("doc_id"), text_or_empty())))
+    longer = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    none = F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>")
+    found = found.withColumn("top", F.aggregate("runs", none, lambda best, r: F.when(longer(best, r), r).otherwise(best)))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.floor(1000 * F.col("top.length") / F.col("top.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def _repeating(doc_id: Column, text: Column) -> Column:
+    """The texts of the query: where h = crc32 of the id ends in 0, the words from a on repeat the first p of them."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        again = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(again, F.lit(1), n - a)), " ")).otherwise(F.lit(""))
+
+    once = F.transform(F.array(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), repeated)  # binds the words to a name
+    return F.when(h % 10 == 0, F.get(once, F.lit(0))).otherwise(text)
+
+
+def op12_genetic_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return genetic_packing.packed(table(spark, folder, "documents"))
+
+
+def op13_shared_search(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_search.search(table(spark, folder, "benchmark"), table(spark, folder, "documents"))
+
+
 SPARK = {f.__name__: f for f in (
-    op1_pii, op2_near_duplicates, op3_secrets, op4_url_filter, op5_mixture, op6_embedding_links, op7_quality, op8_toxicity, op9_packing, op10_host_rules)}
+    op1_pii, op2_near_duplicates, op3_secrets, op4_url_filter, op5_mixture, op6_embedding_links, op7_quality, op8_toxicity, op9_packing, op10_host_rules,
+    op11_periodic_runs, op12_genetic_packing, op13_shared_search)}
 
 SQL = {
     "op4_url_filter": r"""
@@ -158,4 +198,17 @@ p as (select m, case when hosts > 1 and x > 0 and s > 0 then greatest(1.0, s / x
 b as (select source, (h.f + m * mass) as a, (h.n - h.f + (1 - m) * mass) as c from h, p),
 bad as (select source from b where a / (a + c) - 2 * sqrt(a / (a + c) * (1 - a / (a + c)) / (a + c + 1)) > 0.8)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and (source is null or source not in (select source from bad)) as kept from f""",
+    "op13_shared_search": r"""
+with d as (select row_number() over () as row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as words from documents),
+c as (select count(*)::bigint as docs, sum(len(words))::bigint as total from d where len(words) > 0),
+q as (select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+t as (select row, doc_id, n, term, count(*)::bigint as tf from (select row, doc_id, len(words)::bigint as n, unnest(words) as term from d)
+  where term in (select term from q) group by row, doc_id, n, term),
+w as (select term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::bigint as w from t, c group by term, docs),
+s as (select item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total))))::bigint as score
+  from t join w using (term) join q using (term), c group by item_id, row, doc_id),
+r as (select item_id, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank, doc_id, score from s where score > 0)
+select item_id, rank::integer as rank, doc_id, score from r where rank <= 10""",
 }
