@@ -36,6 +36,15 @@ def _shared_folder(spark: SparkSession) -> str:
     return (named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_lineage").rstrip("/")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder below the shared one; it is deleted when the program ends."""
+    if not _WRITTEN:
+        atexit.register(_drop_all, spark)
+    path = f"{_shared_folder(spark)}/codefacts-{uuid.uuid4().hex}"
+    _WRITTEN.add(path)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared checkpoint folder and read it back.
 
@@ -44,10 +53,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     earlier by ``drop_lineage``.
     """
     spark = df.sparkSession
-    if not _WRITTEN:
-        atexit.register(_drop_all, spark)
-    path = f"{_shared_folder(spark)}/codefacts-{uuid.uuid4().hex}"
-    _WRITTEN.add(path)
+    path = scratch_folder(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lineage_path = path
