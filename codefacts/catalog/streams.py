@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codefacts.catalog.base import add
+from codefacts.catalog.sourceq import CP, c_sources
 from codefacts.catalog.tasks import PAIRS, moves
 from codefacts.functions import fixed
 from codefacts.projection import Facts
 from codefacts.session import scratch_folder
-from codefacts.streaming import live, ordered
+from codefacts.sources import store
+from codefacts.streaming import maintain, ordered
 
 #: How late events come here, in milliseconds of event time, and rows of one batch, about.
 DELAY_MS = 6 * 3_600_000
@@ -93,3 +95,34 @@ def t2(f: Facts) -> DataFrame:
     stream = paced(stage_events(f), 60_000, 3_600_000, "run_id")
     out, _ = ordered.drained(ordered.stage_beats(stream, "60000 milliseconds", IDLE_MS))
     return out.select("run_id", "kind", "at", "stage")
+
+
+def change_feed(f: Facts) -> list[DataFrame]:
+    """Batches of changes of the C sources: all files, then edits and deletions, then late copies of the first versions."""
+    size = F.regexp_extract("text", r"#define MAX_\d+ (\d+)", 1).cast("int")
+    first = c_sources(f).withColumn("size", size)
+    row = lambda df, op, text, seq: df.select("project_id", "path", F.lit(op).alias("op"), text.alias("text"), F.lit(seq).cast("bigint").alias("seq"))
+    edited = F.regexp_replace("text", r"(#define MAX_\d+) \d+", "$1 1")
+    half = F.pmod(F.xxhash64("path"), F.lit(2)) == 0
+    added = [row(first.where(c), "upsert", F.col("text"), 1) for c in (half, ~half)]
+    edits = row(first.where("size > 25 and size <> 50"), "upsert", edited, 3).unionByName(row(first.where("size = 50"), "delete", F.lit(None).cast("string"), 4))
+    return [*added, edits, row(first.where("size > 40"), "upsert", F.col("text"), 2)]
+
+
+@add("t5_maintained_facts", """
+select 'firmware' as project_id, path, concat('MAX_',p_partkey) as name, case when p_size > 25 then '1' else cast(p_size as varchar) end as value, 15 as end_line from cp where p_size <> 50
+union all select 'library', path, concat('MAX_',p_partkey), cast(p_size as varchar), 15 from cp where p_size < 10""", CP)
+def t5(f: Facts) -> DataFrame:
+    """One stream brings the changes of a project, a second one with its own batches a new project."""
+    spark = f.spark
+    root = scratch_folder(spark)
+    feeds = [change_feed(f), [change_feed(f)[0].unionByName(change_feed(f)[1]).where(F.regexp_extract("text", r"#define MAX_\d+ (\d+)", 1).cast("int") < 10).withColumn("project_id", F.lit("library"))]]
+    for feed in feeds:
+        folder = scratch_folder(spark)
+        for batch in feed:
+            batch.coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(feed[0].schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        maintain.maintain_facts(stream, root, scratch_folder(spark), shards=8).awaitTermination()
+    tables = store.read_index(spark, root)[1]
+    ends = tables["functions"].select("project_id", "path", "end_line")
+    return tables["macros"].select("project_id", "path", "name", "value").join(ends, ["project_id", "path"])

@@ -64,11 +64,11 @@ def drop_lineage(df: DataFrame) -> None:
     """Delete the files behind a DataFrame of ``cut_lineage`` that nothing reads any more."""
     path = getattr(df, "_lineage_path", None)
     if path in _WRITTEN:
-        _delete(df.sparkSession, path)
+        delete_folder(df.sparkSession, path)
         _WRITTEN.discard(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_folder(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
@@ -77,6 +77,6 @@ def _delete(spark: SparkSession, path: str) -> None:
 def _drop_all(spark: SparkSession) -> None:
     try:
         for path in _WRITTEN:
-            _delete(spark, path)
+            delete_folder(spark, path)
     except Exception:  # noqa: BLE001 - the session has ended; its folder is the cluster's to clear
         pass

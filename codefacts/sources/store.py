@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from codefacts.session import cut_lineage, delete_folder, drop_lineage
+
 SCHEMA_VERSION = "2"
 INDEX_VERSION = "1.6"
-MANIFEST = "snapshot_id string, batch_id bigint, schema_version string, index_version string, tables map<string,string>, schemas map<string,string>, generated_at timestamp"
+MANIFEST = "number bigint, snapshot_id string, stream string, batch_id bigint, schema_version string, index_version string, tables map<string,string>, schemas map<string,string>, generated_at timestamp"
 STATE_TABLES = {
     "tasks": "project_id string, task_id string, goal string, state string, iteration int, max_iterations int, created_at timestamp, updated_at timestamp",
     "agents": "project_id string, task_id string, agent_id string, role string, status string, updated_at timestamp",
@@ -37,14 +39,41 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def write_index(tables: dict[str, DataFrame], root: str, snapshot_id: str, batch_id: int = -1, reuse: dict[str, tuple[str, str]] | None = None) -> bool:
+def _manifest(spark: SparkSession, root: str) -> DataFrame:
+    return read_or_empty(spark, f"{root}/manifest", MANIFEST)
+
+
+def _last(spark: SparkSession, root: str) -> Row | None:
+    """Manifest row of the newest snapshot; they are numbered, as clocks of writers differ."""
+    return _manifest(spark, root).orderBy(F.desc_nulls_last("number"), F.desc("generated_at")).first()
+
+
+def committed(spark: SparkSession, root: str, stream: str, batch_id: int) -> bool:
+    """Whether a batch of a stream is in a snapshot; batches of different streams never stand for each other."""
+    return not _manifest(spark, root).where((F.col("batch_id") == batch_id) & (F.coalesce("stream", F.lit("")) == stream)).isEmpty()
+
+
+def next_number(spark: SparkSession, root: str) -> int:
+    last = _last(spark, root)
+    return (last["number"] or 0) + 1 if last else 1
+
+
+def commit(spark: SparkSession, root: str, snapshot_id: str, folders: dict[str, str], schemas: dict[str, str], stream: str = "", batch_id: int = -1) -> None:
+    """One manifest row in one file, which is what makes a snapshot exist."""
+    pairs = lambda d: F.create_map(*[F.lit(x) for kv in sorted(d.items()) for x in kv]).cast("map<string,string>")
+    row = spark.range(1).select(
+        F.lit(next_number(spark, root)).cast("bigint").alias("number"), F.lit(snapshot_id).alias("snapshot_id"), F.lit(stream).alias("stream"), F.lit(batch_id).cast("bigint").alias("batch_id"),
+        F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(INDEX_VERSION).alias("index_version"), pairs(folders).alias("tables"), pairs(schemas).alias("schemas"), F.current_timestamp().alias("generated_at"))
+    row.coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+
+
+def write_index(tables: dict[str, DataFrame], root: str, snapshot_id: str, batch_id: int = -1, reuse: dict[str, tuple[str, str]] | None = None, stream: str = "") -> bool:
     """Write one snapshot; ``reuse`` names (folder, schema) of tables of an older snapshot that stay as they are.
 
-    A batch that was committed before is skipped, so a replayed stream batch writes nothing twice.
+    A batch of ``stream`` that was committed before is skipped, so a replayed stream batch writes nothing twice.
     """
     spark = next(iter(tables.values())).sparkSession if tables else SparkSession.getActiveSession()
-    manifest = read_or_empty(spark, f"{root}/manifest", MANIFEST)
-    if batch_id >= 0 and not manifest.where(F.col("batch_id") == batch_id).isEmpty():
+    if batch_id >= 0 and committed(spark, root, stream, batch_id):
         return False
     folders = {k: v[0] for k, v in (reuse or {}).items()}
     schemas = {k: v[1] for k, v in (reuse or {}).items()}
@@ -53,33 +82,43 @@ def write_index(tables: dict[str, DataFrame], root: str, snapshot_id: str, batch
         schemas[name] = df.schema.json()
         writer = df.write.mode("overwrite")
         (writer.partitionBy("project_id") if "project_id" in df.columns else writer).parquet(folders[name])
-    row = spark.range(1).select(
-        F.lit(snapshot_id).alias("snapshot_id"), F.lit(batch_id).cast("bigint").alias("batch_id"), F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(INDEX_VERSION).alias("index_version"),
-        F.create_map(*[F.lit(x) for kv in sorted(folders.items()) for x in kv]).alias("tables"),
-        F.create_map(*[F.lit(x) for kv in sorted(schemas.items()) for x in kv]).alias("schemas"), F.current_timestamp().alias("generated_at"))
-    row.coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+    commit(spark, root, snapshot_id, folders, schemas, stream, batch_id)
     return True
 
 
 def read_index(spark: SparkSession, root: str) -> tuple[str, dict[str, DataFrame]]:
     """(VALID, MISSING or CORRUPTED; tables) of the latest snapshot."""
-    last = read_or_empty(spark, f"{root}/manifest", MANIFEST).orderBy(F.desc("generated_at")).limit(1).collect()
+    last = _last(spark, root)
     if not last:
         return "MISSING", {}
-    if last[0]["schema_version"] != SCHEMA_VERSION:
+    if last["schema_version"] != SCHEMA_VERSION:
         return "CORRUPTED", {}
     try:
         # the stored schema also serves tables that are empty
-        schemas = {k: T.StructType.fromJson(json.loads(v)) for k, v in last[0]["schemas"].items()}
-        return "VALID", {name: spark.read.schema(schemas[name]).parquet(path) for name, path in last[0]["tables"].items()}
+        schemas = {k: T.StructType.fromJson(json.loads(v)) for k, v in last["schemas"].items()}
+        return "VALID", {name: spark.read.schema(schemas[name]).parquet(path) for name, path in last["tables"].items()}
     except AnalysisException:
         return "CORRUPTED", {}
 
 
+def replace_shards(rows: DataFrame, path: str, touched: list[int]) -> None:
+    """Puts ``rows`` (with ``shard``) in place of the touched shards of a table; the files of other shards stay.
+
+    The rows are staged first, as they are made from the shards they replace. A shard without rows goes. Doing it again
+    with the same rows changes nothing.
+    """
+    staged = cut_lineage(rows)
+    staged.repartition("shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    held = {r["shard"] for r in staged.select("shard").distinct().collect()}  # at most the shards
+    for shard in set(touched) - held:
+        delete_folder(rows.sparkSession, f"{path}/shard={shard}")
+    drop_lineage(staged)
+
+
 def refresh_index(spark: SparkSession, root: str, snapshot_id: str, files: DataFrame) -> bool:
     """New snapshot with fresh file hashes only; all other tables keep their folders."""
-    last = read_or_empty(spark, f"{root}/manifest", MANIFEST).orderBy(F.desc("generated_at")).limit(1).collect()
-    reuse = {k: (v, last[0]["schemas"][k]) for k, v in last[0]["tables"].items() if k != "files"} if last else {}
+    last = _last(spark, root)
+    reuse = {k: (v, last["schemas"][k]) for k, v in last["tables"].items() if k != "files"} if last else {}
     return write_index({"files": files}, root, snapshot_id, reuse=reuse)
 
 

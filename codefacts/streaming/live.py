@@ -12,8 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from codefacts.functions import fixed
 from codefacts.functions.records import progress_text
-from codefacts.plans import refresh
-from codefacts.sources import store
+from codefacts.streaming.maintain import maintain_facts  # noqa: F401
 
 EVENT = "project_id string, task_id string, seq bigint, ts timestamp, type string, agent_id string, payload string"
 
@@ -115,36 +114,3 @@ def stage_monitor(events: DataFrame, interval_seconds: int = 15) -> DataFrame:
 
     return known.groupBy("run_id").applyInPandasWithState(
         watch, "run_id string, kind string, stage string, status string, elapsed_ms bigint", "stage string, status string, since bigint, last bigint", "update", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def maintain_facts(files: DataFrame, root: str, checkpoint: str, large_change: int | None = None) -> StreamingQuery:
-    """Keep a fact snapshot up to date from a stream of changed files ``(project_id, path, text)``.
-
-    Every batch replaces the facts of all its files and commits a new snapshot under the batch id; a replayed batch is
-    skipped by the manifest. Of several versions of a file in a batch the one with the largest ``seq`` holds (without that
-    column the largest text, so reruns agree). A project with more changed files than ``large_change`` is also listed in
-    ``set_aside`` as REINDEX_REQUIRED: a full refresh is advised, nothing is lost without it.
-    """
-    limit = fixed.FRESHNESS["source_large_files"] if large_change is None else large_change
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        status, old = store.read_index(spark, root)
-        counts = batch.groupBy("project_id").agg(F.count_distinct("path").alias("n"))
-        known = old["files"].select("project_id").distinct() if status == "VALID" else counts.select("project_id").limit(0)
-        aside = counts.where(F.col("n") > limit).join(known, "project_id", "left_semi").select("project_id", "n")
-        order = F.col("seq" if "seq" in batch.columns else "text")
-        rows = batch.groupBy("project_id", "path").agg(F.max_by("text", order).alias("text"))
-        fresh = refresh.extract_facts(rows)
-        keys = rows.select("project_id", "path").distinct()
-        tables = {}
-        for name in ("files", *refresh.FACTS):
-            new = fresh[name]
-            if status == "VALID":
-                kept = old[name].select(*new.columns).join(keys, ["project_id", "path"], "left_anti")
-                new = kept.unionByName(new)
-            tables[name] = new
-        tables["set_aside"] = aside.withColumn("state", F.lit("REINDEX_REQUIRED"))
-        store.write_index(tables, root, f"s{batch_id:08d}", batch_id)
-
-    return files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
