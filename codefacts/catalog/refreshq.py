@@ -11,7 +11,7 @@ from codefacts.catalog.questionq import HITS, answers
 from codefacts.catalog.sourceq import c_sources
 from codefacts.functions import records
 from codefacts.operators import changes, hashes, quality, relations
-from codefacts.plans import refresh, reports
+from codefacts.plans import refresh, relations_refresh, reports
 from codefacts.projection import Facts
 from codefacts.sources import store
 
@@ -161,3 +161,54 @@ def t6(f: Facts):
 def a11l(f: Facts):
     return relations.module_dependencies(relations.dependency_via(f.calls, f.includes, f.symbols.select("project_id", "module", "name", "ord"), mfiles(f))).groupBy(
         F.col("from").alias("module")).agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+
+
+def relation_version(f: Facts, new: bool) -> dict:
+    """Two versions of a project: calls of the first and of the last lines, some symbols in another module, some files excluded."""
+    calls = f.calls.where("line >= 2" if new else "line <= 5")
+    includes = calls.where(F.endswith("callee_file", F.lit(".h")) & (F.col("file") != F.col("callee_file"))).select("project_id", F.col("file").alias("src"), F.col("callee_file").alias("target")).distinct()
+    sym = f.symbols.withColumn("module", F.when(F.col("ord") % 50 == 3, "Moved").otherwise(F.col("module"))) if new else f.symbols
+    status = F.when(F.col("ord") % 9 == 0, "excluded").otherwise(F.col("compile_status")) if new else F.col("compile_status")
+    return {
+        "calls": calls.select("project_id", "caller", "callee", "file", "confidence"), "includes": includes, "module_symbols": sym.select("project_id", "name", "module"),
+        "module_files": sym.select("project_id", F.col("file").alias("path"), "module").distinct(), "files": f.files.select("project_id", "path", status.alias("compile_status")),
+    }
+
+
+SECOND = {
+    "sym2": "select * replace (case when ord % 50 = 3 then 'Moved' else module end as module) from sym",
+    "calls2": "select * from calls where line >= 2",
+    "inc2": "select distinct file as src, callee_file as target from calls2 where callee_file like '%.h' and file <> callee_file",
+    "byfile2": "select file, max(module) as module from sym2 group by file",
+    "via2": """select m1 as "from", m2 as "to", kind, via, cast(sum(w) as bigint) as weight from (
+      select a.module as m1, b.module as m2, 'call' as kind, callee as via, 3 + case when confidence='high' then 1 else 0 end as w from calls2 c join sym2 a on a.name=c.caller join sym2 b on b.name=c.callee where a.module <> b.module
+      union all select a.module, b.module, 'include', target, 2 from inc2 i join byfile2 a on a.file=i.src join byfile2 b on b.file=i.target where a.module <> b.module) group by all""",
+    "deps2": """select "from", "to", cast(sum(weight) as bigint) as weight, case when bool_or(kind='call') and bool_or(kind='include') then 'call,include' when bool_or(kind='call') then 'call' else 'include' end as kinds,
+      count(distinct via) as via_count from via2 group by all""",
+    "near2": """select *, row_number() over (partition by module, role order by weight desc, other) as rank from (
+      select "from" as module, 'dependency' as role, "to" as other, weight from deps2 union all select "to", 'consumer', "from", weight from deps2)""",
+}
+
+
+@add("q21_refresh_relations", """
+select 'dependency' as what, "from" as a, "to" as b, kinds as text, weight as n, via_count as m from deps2
+union all select 'link', least("from","to"), greatest("from","to"), null, null, null from via2 group by all
+union all select 'neighbour', module, other, role, weight, rank from near2 where rank <= 10
+union all select 'build', s.module, null, ['compiled','not_compiled','excluded'][min(case st when 'compiled' then 1 when 'not_compiled' then 2 else 3 end)], count(*) filter (where st='compiled'), count(*)
+ from (select distinct module, file from sym2) s join (select path, case when ord % 9 = 0 then 'excluded' else compile_status end as st from files) f on f.path=s.file group by s.module""", SECOND)
+def q21r(f: Facts):
+    """The state of the first version, refreshed by the signed changes to the second."""
+    old, new = relation_version(f, False), relation_version(f, True)
+    state = relations_refresh.relation_state(**old)
+    near = relations.ranked_neighbours(relations_refresh.dependencies(state))
+    changes = {k: relations_refresh.signed_changes(old[k], new[k], new[k].columns) for k in new}
+    state, touched = relations_refresh.refresh_relations(state, changes)
+    near = relations_refresh.refresh_neighbours(near, state, touched)
+    none = F.lit(None)
+    row = lambda df, what, a, b, text, n, m: df.select(
+        F.lit(what).alias("what"), a.alias("a"), b.cast("string").alias("b"), text.cast("string").alias("text"), n.cast("bigint").alias("n"), m.cast("bigint").alias("m"))
+    c = F.col
+    return (
+        row(relations_refresh.dependencies(state), "dependency", c("from"), c("to"), c("kinds"), c("weight"), c("via_count"))
+        .unionByName(row(state["links"], "link", c("a"), c("b"), none, none, none)).unionByName(row(near, "neighbour", c("module"), c("other"), c("role"), c("weight"), c("rank")))
+        .unionByName(row(relations_refresh.build_stats(state), "build", c("module"), none, c("build_status"), c("compiled"), c("total"))))
