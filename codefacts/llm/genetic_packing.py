@@ -205,18 +205,21 @@ def packed_cells(pieces: DataFrame, cells: int, window: int = WINDOW) -> DataFra
     """
     dealt = pieces.groupBy(F.pmod(F.xxhash64("key"), F.lit(cells)).alias("cell")).agg(F.array_sort(F.collect_list(F.struct("length", "key"))).alias("own"))
     dealt = cut_lineage(dealt)
+    tasks = max(1, cells * ISLANDS // 4)  # given as a number, else Spark would put all these small rows into one task
     islands = dealt.select("cell", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.col("own.length").alias("sizes"))
     state = cut_lineage(islands.withColumn("people", F.lit(None).cast("binary")).withColumn("migrant", F.lit(None).cast("binary"))
-                        .repartition("cell", "island").mapInPandas(_epoch(window, 0), _ISLAND))
+                        .repartition(tasks, "cell", "island").mapInPandas(_epoch(window, 0), _ISLAND))
     for number in range(1, EPOCHS):
         solved = state.groupBy("cell").agg((F.min("bins") <= F.min("least")).alias("solved"))
-        if solved.where(~F.col("solved")).isEmpty():
+        open_cells = solved.where(~F.col("solved")).count()
+        if not open_cells:
             break
+        tasks = max(1, open_cells * ISLANDS // 4)
         guests = state.select("cell", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("elite").alias("migrant"))
         moved = state.join(solved, "cell").join(guests, ["cell", "island"])
         still = moved.where("solved").select(*state.columns)
         before = state
-        state = cut_lineage(moved.where(~F.col("solved")).select("cell", "island", "sizes", "people", "migrant").repartition("cell", "island")
+        state = cut_lineage(moved.where(~F.col("solved")).select("cell", "island", "sizes", "people", "migrant").repartition(tasks, "cell", "island")
                             .mapInPandas(_epoch(window, number), _ISLAND).unionByName(still))
         drop_lineage(before)
     best = state.groupBy("cell").agg(F.min(F.struct("bins", -F.col("lack"), "island", "sizes", "elite")).alias("b")).select("cell", "b.sizes", "b.elite")
