@@ -16,90 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codefacts.llm.tokens import TOKENIZER, default_path, encode
+
 WINDOW = 2048
 #: Tokens of a shard, about; and of a segment: longer documents are dealt in segments of this length.
 SHARD_TOKENS = 600_000
 SEGMENT = 32 * WINDOW
 END = 1
-TOKENIZER = "word_bpe_49k.json"
-#: Words a worker remembers the ids of.
-REMEMBERED = 1_000_000
-
-_SPLIT = "<|endoftext|>"
-_SPLIT_ID = 49407
-_STATE: dict = {}
-
-
-def _tokenizer(path: str):
-    if path not in _STATE:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        _STATE[path] = (Tokenizer.from_file(path), {})
-    return _STATE[path]
-
-
-def _cut(word: bytes) -> tuple[bytes, bytes]:
-    """Letters and trailing punctuation of a word of plain letters, which the tokenizer never joins; else all is rest."""
-    core = word.rstrip(b".,;:!?#$%&*|")
-    if core.isalpha():
-        return core.lower(), word[len(core) :]
-    if core and not core.isascii():
-        letters = core.decode()
-        if letters.isalpha() and max(letters) < "\u0180" and "\u0130" not in letters:
-            return letters.lower().encode(), word[len(core) :]
-    return b"", word
-
-
-def _learn(new: set[bytes], tokenizer, known: dict[bytes, bytes]) -> None:
-    """Adds the ids of ``new`` words to ``known``: their parts are encoded in blocks, between special tokens."""
-    parts = [(w, *_cut(w)) for w in new]
-    bits = list({x for _, core, rest in parts for x in (core, rest) if x and x not in known and b"<|" not in x})
-    for i in range(0, len(bits), 2000):
-        block = bits[i : i + 2000]
-        ids = np.array(tokenizer.encode_batch_fast([_SPLIT.join([b.decode() for b in block])], add_special_tokens=False)[0].ids, np.uint16)
-        cuts = (np.flatnonzero(ids == _SPLIT_ID) * 2).tolist()
-        raw, start = ids.tobytes(), 0
-        for b, end in zip(block, [*cuts, len(raw)], strict=True):
-            known[b] = raw[start:end]
-            start = end + 2
-    for w, core, rest in parts:
-        if core and core != w:
-            known[w] = known[core] + known[rest] if rest else known[core]
-
-
-def encode(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids of each text, as the tokenizer gives them for the whole text; END is not added.
-
-    White space only separates for this tokenizer, so the ids of a text are those of its words in turn; each word is
-    encoded once. A text that names a special token goes through the tokenizer whole.
-    """
-    tokenizer, known = _tokenizer(path)
-    if len(known) > REMEMBERED:
-        known.clear()
-    rows, new = [], set()
-    for text in texts:
-        if "<|" in text:
-            rows.append((text, None, None))
-            continue
-        words = text.encode("utf-8").split()
-        ids = list(map(known.get, words))
-        gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else ()
-        new.update([words[i] for i in gaps])
-        rows.append((ids, gaps, words))
-    if new:
-        _learn(new, tokenizer, known)
-    out = []
-    for ids, gaps, words in rows:
-        if gaps is None:
-            out.append(np.array(tokenizer.encode(ids, add_special_tokens=False).ids, np.uint16))
-            continue
-        for i in gaps:
-            ids[i] = known[words[i]]
-        out.append(np.frombuffer(b"".join(ids), np.uint16))
-    return out
+__all__ = ["TOKENIZER", "WINDOW", "encode", "fill", "neighbours", "packed"]
 
 
 def _segments(path: str):
@@ -204,10 +128,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, shard_tokens: int = SH
     rows are packed each; a null doc_id stays null; other columns are ignored. The empty table gives no rows. Shards
     follow the number of characters, so a shard stays near ``shard_tokens`` at any size; rows are dealt by a hash of their ids.
     """
-    if tokenizer is None:
-        import public_tokenizers
-
-        tokenizer = public_tokenizers.path(TOKENIZER)
+    tokenizer = tokenizer or default_path()
     total = docs.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 8)).first()[0] or 0
     shards = max(1, math.ceil(total / 2.5 / shard_tokens))
     segments = docs.select("doc_id", "text").mapInPandas(_segments(tokenizer), "doc_id bigint, start bigint, doc_tokens bigint, deal bigint, ids binary")
