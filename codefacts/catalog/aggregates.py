@@ -23,14 +23,14 @@ def src_rules(f: Facts):
     return ig.unionByName(tp)
 
 
-@add("a1_project_fingerprint", FP_SQL.format(k="path", v="sha256(text)", t="docnew where path not like concat(project_id,'/de/%')"))
+@add("a1_project_fingerprint", FP_SQL.format(k="path", v="sha256(text)", t="docall where path not like concat(project_id,'/de/%')"))
 def a1(f: Facts):
-    return hashes.project_fingerprint(f.file_versions[1], src_rules(f))
+    return hashes.project_fingerprint(f.sources, src_rules(f))
 
 
-@add("a2_source_fingerprint", FP_SQL.format(k="path", v="sha256(text)", t="docnew"))
+@add("a2_source_fingerprint", FP_SQL.format(k="path", v="sha256(text)", t="docall"))
 def a2(f: Facts):
-    return hashes.source_fingerprint(f.file_versions[1])
+    return hashes.source_fingerprint(f.sources)
 
 
 @add("a3_scope_fingerprint", """
@@ -64,9 +64,9 @@ def a4(f: Facts):
     return hashes.build_fingerprint(brand_build(f), brand_builds(f))
 
 
-@add("a5_content_hash", "select project_id, path, substr(sha256(text),1,16) as content_hash from docnew")
+@add("a5_content_hash", "select project_id, path, substr(sha256(text),1,16) as content_hash from docall")
 def a5(f: Facts):
-    return hashes.file_hashes(f.file_versions[1])
+    return hashes.file_hashes(f.sources)
 
 
 @add("a5_config_hashes", "select source as project_id, concat(lang, cast(doc_id as varchar), '.uvprojx') as name, substr(sha256(text),1,16) as content_hash from documents where lang='en'")
@@ -285,9 +285,9 @@ def a22(f: Facts):
     return scope.ignored_top_dirs(r)
 
 
-@add("a22_count_source_files", "select project_id, count(*) as n from docnew group by project_id")
+@add("a22_count_source_files", "select project_id, count(*) as n from docall group by project_id")
 def a22c(f: Facts):
-    return scope.count_source_files(f.file_versions[1], "_index")
+    return scope.count_source_files(f.sources, "_index")
 
 
 @add("w3_entry_points", "select module, name, outside_calls, cast(rank as integer) as rank from ents", VIA)

@@ -66,6 +66,7 @@ VIEWS = {
         on f.l_orderkey=o.o_orderkey join sym s on s.ord=f.pk""",
     "docpath": """select d.*, l.quality, l.toxic, concat(source,'/',lang,'/d',cast(d.doc_id as varchar),
         case when lang='de' then '.h' else '.c' end) as path from documents d left join labels l on l.doc_id=d.doc_id""",
+    "docall": "select source as project_id, path, text from docpath",
     "docold": "select source as project_id, path, text from docpath where quality is not null",
     "docnew": """select source as project_id, path, case when quality=1 then concat(text,' // edit') else text end as text
         from docpath where coalesce(toxic,0)=0""",

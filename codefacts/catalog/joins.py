@@ -99,9 +99,9 @@ def j4(f: Facts):
 
 
 BOUNDARY = {
-    "reach": """select path as node from files where compile_status='compiled' and path like 'Drivers/%' and path like '%.c'
-      union select replace(path,'.c','.h') from files where compile_status='compiled' and path like 'Drivers/%' and path like '%.c'
-        and replace(path,'.c','.h') in (select path from files)
+    "reach": """select path as node from files where compile_status='compiled'
+      union select regexp_replace(path,'\\.[^./]+$','.h') from files where compile_status='compiled' and path like '%.c'
+        and regexp_replace(path,'\\.[^./]+$','.h') in (select path from files)
       union select i.target from reach join includes i on i.src=reach.node""",
 }
 
@@ -113,7 +113,7 @@ def _recursive(body: str) -> str:
 
 
 def boundary(f: Facts):
-    compiled = f.files.where((F.col("compile_status") == "compiled") & F.startswith("path", F.lit("Drivers/")) & F.endswith("path", F.lit(".c")))
+    compiled = f.files.where("compile_status = 'compiled'")
     return scope.build_boundary(compiled.select("project_id", "path"), f.includes, f.files.select("project_id", "path"))
 
 

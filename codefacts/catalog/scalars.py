@@ -402,12 +402,12 @@ def p31(f: Facts):
 
 @add("p32_compile_status", """
 select f.path, case when c.path is not null then 'compiled' when x.path is not null then 'excluded' else 'not_compiled' end as compile_status
-from files f left join (select distinct regexp_extract(path,'[^/]+$') as path from files where compile_status='compiled' and module_no = 0) c
+from files f left join (select distinct regexp_extract(path,'[^/]+$') as path from files where compile_status='compiled') c
  on c.path = regexp_extract(f.path,'[^/]+$')
 left join (select distinct regexp_extract(path,'[^/]+$') as path from files where compile_status='excluded') x on x.path = regexp_extract(f.path,'[^/]+$')
-""".replace(" and module_no = 0", " and path like 'Drivers/%'"))
+""")
 def p32(f: Facts):
-    listed = f.files.where(((F.col("compile_status") == "compiled") & F.startswith("path", F.lit("Drivers/"))) | (F.col("compile_status") == "excluded"))
+    listed = f.files.where("compile_status in ('compiled', 'excluded')")
     build = listed.select("project_id", "path", (F.col("compile_status") == "compiled").alias("compiled"))
     builds = f.files.groupBy("project_id").agg(F.lit(True).alias("has_build_config"))
     return scope.compile_status(f.files.select("project_id", "path"), build, builds).select("path", "compile_status")

@@ -41,18 +41,18 @@ def s2(f: Facts):
     return readers.scan_files(tree).select("path", "language")
 
 
-@add("s3_scan_code_files", "select path from docnew")
+@add("s3_scan_code_files", "select path from docall")
 def s3(f: Facts):
-    new = f.file_versions[1].select("project_id", "path")
+    new = f.sources.select("project_id", "path")
     yaml = new.select("project_id", F.concat("path", F.lit(".yaml")).alias("path"))
     return readers.scan_code_files(new.unionByName(yaml)).select("path")
 
 
-@add("s4_language_of", "select path, 'c' as language from docnew union all select concat(path,'.rs'), 'rust' from docnew union all select concat(path,'.xyz'), 'xyz' from docnew")
+@add("s4_language_of", "select path, 'c' as language from docall union all select concat(path,'.rs'), 'rust' from docall union all select concat(path,'.xyz'), 'xyz' from docall")
 def s4(f: Facts):
     from codefacts.functions.paths import language_of
 
-    p = f.file_versions[1].select(F.explode(F.array("path", F.concat("path", F.lit(".rs")), F.concat("path", F.lit(".xyz")))).alias("path"))
+    p = f.sources.select(F.explode(F.array("path", F.concat("path", F.lit(".rs")), F.concat("path", F.lit(".xyz")))).alias("path"))
     return p.withColumn("language", language_of("path"))
 
 
@@ -180,15 +180,64 @@ def x4(f: Facts):
 select path, line, concat('on_',k) as name, via, field, concat('run_',k) as caller_hint from cp, lateral (select 12 as line, 'field_assign' as via, 'cb' as field union all select 13,'register_call','') x
  union all select path, 10, 'n', 'field_assign', t, concat('run_',k) from cp""", CP)
 def x5(f: Facts):
-    return extract.extract_bindings(c_sources(f), functions(f)).drop("project_id")
+    return extract.extract_bindings(c_sources(f)).drop("project_id")
 
 
 @add("x6_extract_field_usage", "select path, line, field, access, concat('run_',k) as function from cp, lateral (select 10 as line, t as field, 'write' as access union all select 11,t,'read' union all select 12,'cb','write') x", CP)
 def x6(f: Facts):
-    return extract.extract_field_usage(c_sources(f), functions(f)).drop("project_id")
+    return extract.extract_field_usage(c_sources(f)).drop("project_id")
 
 
 @add("x7_file_size_guard", "select doc_id, concat('file too large: ',strlen(text),' bytes') as error from documents where strlen(text) > 10000")
 def x7(f: Facts):
     docs = f.table("documents").select(F.col("source").alias("project_id"), F.col("doc_id").alias("path"), "text")
     return extract.size_guard(docs, limit=10_000)[1].select(F.col("path").alias("doc_id"), "error")
+
+
+SHAPES = [
+    "typedef struct tag_K {\n  struct { int q; } inner;\n  void (*cb)(int, char *);\n  char buf[S]; /* }; */\n} T_K;",
+    "static unsigned int\nrun_K(int a,\n    char *b)\n{\n  if (a) {\n    b[0] = 1;\n  }\n}",
+    "void go_K(void) {\n  register_a(wrap(x), &on_K); attach(two_K, 3); log(p->a.b);\n}",
+    "static const struct ops o_K = {\n  .open = open_K,\n  [2] = third_K,\n};\nfp list_K[] = { one_K, { &two_K } };",
+    "int f_K(int n) {\n  /* } */ char *s = \"}\"; // {\n  p->v += n; q.w++;\n  p->x = p->y = h_K;\n}",
+    "#ifdef A\n#define B {\n#endif\nextern \"C\" {\nint proto_K(int (*fn)(int), int n[3]);\n}\nstruct n_K { int a, b; };",
+]
+
+
+def c_shapes(f: Facts):
+    """One C text per part, in six shapes: nested and multi-line declarations, calls in calls, tables, brackets in comments and strings."""
+    k = F.col("p_partkey")
+    shape = F.get(F.array(*[F.lit(x) for x in SHAPES]), (k % 6).cast("int"))
+    text = F.replace(F.replace(shape, F.lit("_K"), F.concat(F.lit("_"), k.cast("string"))), F.lit("[S]"), F.concat(F.lit("["), F.col("p_size").cast("string"), F.lit("]")))
+    return f.table("part").select(F.lit(PROJECT).alias("project_id"), F.concat(F.lit("shape/p"), k.cast("string"), F.lit(".c")).alias("path"), text.alias("text"))
+
+
+SHAPED = {"sp": "select p_partkey % 6 as shape, cast(p_partkey as varchar) as k, cast(p_size as varchar) as s, concat('shape/p',p_partkey,'.c') as path from part"}
+
+
+@add("x3_struct_shapes", """
+select path, concat('T_',k) as struct, name, pos, type, fp as is_function_pointer from sp, lateral (select 'inner' as name, 0 as pos, 'struct { int q; }' as type, false as fp union all select 'cb',1,'void (*)(int, char *)',true
+ union all select 'buf',2,concat('char[',s,']'),false) x where shape=0 union all select path, concat('n_',k), 'a', 0, 'int', false from sp where shape=5""", SHAPED)
+def x3s(f: Facts):
+    return extract.extract_struct_fields(c_shapes(f)).drop("project_id")
+
+
+@add("x4_function_shapes", """
+select path, concat(n,'_',k) as name, a as start_line, z as end_line, r as return_type, p as parameters, d as definition from sp join (values (1,'run',1,8,'static unsigned int','a,b',true),(2,'go',1,3,'void','',true),
+ (4,'f',1,5,'int','n',true),(5,'proto',5,5,'int','fn,n',false)) v(shape,n,a,z,r,p,d) using (shape)""", SHAPED)
+def x4s(f: Facts):
+    return extract.extract_functions(c_shapes(f)).drop("project_id").withColumn("parameters", F.array_join("parameters", ","))
+
+
+@add("x5_binding_shapes", """
+select path, line, concat(n,'_',k) as name, via, field, case when h <> '' then concat(h,'_',k) end as caller_hint from sp join (values (2,2,'on','register_call','','go'),(2,2,'two','register_call','','go'),(3,2,'open','field_assign','',''),
+ (3,3,'third','field_assign','',''),(3,5,'one','table_assign','',''),(3,5,'two','table_assign','',''),(4,4,'h','field_assign','y','f')) v(shape,line,n,via,field,h) using (shape)""", SHAPED)
+def x5s(f: Facts):
+    return extract.extract_bindings(c_shapes(f)).drop("project_id")
+
+
+@add("x6_usage_shapes", """
+select path, line, field, access, concat(h,'_',k) as function from sp join (values (2,2,'a','read','go'),(2,2,'b','read','go'),(4,3,'v','write','f'),(4,3,'w','read','f'),(4,4,'x','write','f'),(4,4,'y','write','f'))
+ v(shape,line,field,access,h) using (shape)""", SHAPED)
+def x6s(f: Facts):
+    return extract.extract_field_usage(c_shapes(f)).drop("project_id")

@@ -1,17 +1,22 @@
-"""C facts from source text by a declared line grammar.
+"""C facts from source text.
 
-What the grammar cannot see is known: nested declarators and signatures that span lines. Each file is one row and one
-group of lines; a bad file yields an error row and never stops the others.
+Macros and enum members follow patterns; members, functions, bindings and field usage follow the brackets of the text
+(``ctext``). What is not seen: macros are not expanded, and both branches of a condition are read as if they followed each other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from codefacts.functions import fixed
 from codefacts.functions.words import is_plain_value, macro_body, macro_kind, macro_name
+from codefacts.operators import ctext
 from codefacts.sources.readers import source_lines
 
 FILE = ["project_id", "path"]
@@ -63,71 +68,45 @@ def extract_enum_members(files: DataFrame, text: str = "text") -> DataFrame:
     return rows.select(*FILE, "enum", F.regexp_extract("m", rf"^({NAME})", 1).alias("name"), "pos", value.alias("value"), F.when(F.col("num").isNull(), F.col("raw")).alias("value_expr"))
 
 
-def extract_struct_fields(files: DataFrame, text: str = "text") -> DataFrame:
-    """Struct and union members: name, type text with array suffix, function-pointer flag."""
-    rows = _blocks(files, "(?:struct|union)", text).select(*FILE, F.col("name").alias("struct"), "block", F.posexplode(F.split("body", ";")).alias("pos", "m")).withColumn("m", F.trim(F.regexp_replace("m", r"\s+", " "))).where("m <> ''")
-    pointer = F.rlike("m", F.lit(r"\(\s*\*"))
-    name = F.when(pointer, F.regexp_extract("m", rf"\(\s*\*\s*({NAME})", 1)).otherwise(F.regexp_extract("m", rf"({NAME})\s*(?:\[[^\]]*\]\s*)*(?::\s*\d+)?$", 1))
-    array = F.regexp_extract("m", r"((?:\[[^\]]*\]\s*)+)$", 1)
-    kind = F.when(pointer, F.regexp_replace("m", rf"(\(\s*\*\s*){NAME}", "$1")).otherwise(F.concat(F.trim(F.regexp_replace("m", rf"{NAME}\s*(?:\[[^\]]*\]\s*)*(?::\s*\d+)?$", "")), array))
-    return rows.select(*FILE, "struct", name.alias("name"), "pos", kind.alias("type"), pointer.alias("is_function_pointer")).where("name <> ''")
+def _found(files: DataFrame, text: str, find: Callable[[ctext.Source], Iterable[dict]], schema: str) -> DataFrame:
+    """One row per fact that ``find`` sees in a file. Matching brackets is beyond regular expressions, so it runs in
+    Arrow batches; a file stays in its task and no line is shuffled. A null text has no facts."""
+    target = T.StructType.fromDDL(f"project_id string, path string, {schema}")
+    arrow = to_arrow_schema(target)
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for project, path, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                own = [{"project_id": project, "path": path, **fact} for fact in find(ctext.Source(content or ""))]
+                if own:
+                    yield pa.RecordBatch.from_pylist(own, schema=arrow)
 
-FUNCTION = rf"^\s*((?:(?:static|extern|inline|const|unsigned|signed|struct|enum)\s+)*{NAME}(?:\s*\*+)?)\s*[\s*]({NAME})\s*\(([^;{{}}]*)\)\s*(\{{.*|;)?\s*$"
+    return files.select(F.col("project_id").cast("string"), F.col("path").cast("string"), text).mapInArrow(rows, target)
 
 
-def extract_functions(files: DataFrame, text: str = "text") -> DataFrame:
-    """Function definitions and prototypes written on one line, with return type and parameters (unnamed ones dropped).
+def extract_struct_fields(files: DataFrame, text: str = "text") -> DataFrame:
+    """Members of structs and unions at any depth of brackets: name, type text with array suffix, function-pointer flag.
 
-    A definition ends at the first later line that starts with ``}``; a prototype ends where it starts.
+    The name is the typedef alias before the tag; anonymous ones are left out, and so are structs inside others. Of
+    several declarators the first counts; ``pos`` counts the members from 0.
     """
-    lines = source_lines(files, text)
-    c = F.col("content")
-    word = F.regexp_extract(c, FUNCTION, 2)
-    kept = F.rlike(c, F.lit(FUNCTION)) & ~F.regexp_extract(c, FUNCTION, 1).isin("return", "else", "typedef", "case", "goto") & ~word.isin("if", "while", "for", "switch", "return", "sizeof")
-    closing = F.rlike(c, F.lit(r"^\}"))
-    w = Window.partitionBy(*FILE).orderBy("line").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    rows = lines.withColumn("_end", F.min(F.when(closing, F.col("line"))).over(w)).where(kept)
-    prototype = F.rlike(c, F.lit(r";\s*$")) & ~F.contains(c, F.lit("{"))
-    one_line = F.rlike(c, F.lit(r"\{.*\}\s*$"))
-    params = F.filter(F.transform(F.split(F.regexp_extract(c, FUNCTION, 3), r",(?![^(]*\))"), lambda p: F.trim(p)), lambda p: F.rlike(p, F.lit(rf"[\s*]{NAME}\s*(?:\[[^\]]*\])?$")))
-    return rows.select(
-        *FILE, word.alias("name"), F.col("line").alias("start_line"), F.when(prototype | one_line, F.col("line")).otherwise(F.coalesce("_end", "line")).alias("end_line"),
-        F.regexp_extract(c, FUNCTION, 1).alias("return_type"), F.transform(params, lambda p: F.regexp_extract(p, rf"({NAME})\s*(?:\[[^\]]*\])?$", 1)).alias("parameters"), (~prototype).alias("definition"))
-
-
-def _inside(points: DataFrame, functions: DataFrame, out: str) -> DataFrame:
-    """As-of join by line inside a file: the last definition that starts at or before the line and has not ended."""
-    heads = functions.where("definition").select(*FILE, F.col("start_line").alias("line"), F.struct("name", "end_line").alias("_f"))
-    both = points.withColumn("_f", F.lit(None).cast(heads.schema["_f"].dataType)).withColumn("_p", F.lit(1)).unionByName(heads.withColumn("_p", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(*FILE).orderBy("line", "_p").rowsBetween(Window.unboundedPreceding, 0)
-    at = both.withColumn("_l", F.last("_f", ignorenulls=True).over(w)).where("_p = 1")
-    return at.withColumn(out, F.when(F.col("line") <= F.col("_l.end_line"), F.col("_l.name"))).drop("_f", "_p", "_l")
-
-
-def extract_bindings(files: DataFrame, functions: DataFrame, text: str = "text") -> DataFrame:
-    """Function addresses bound by a field, table or variable, a designated initialiser, or a registering call."""
-    lines = source_lines(files, text)
-    assign = rf"^\s*(.*?)([\w\]]+)\s*=\s*&?\s*({NAME})\s*[;,]\s*$"
-    left = F.concat(F.regexp_extract("content", assign, 1), F.regexp_extract("content", assign, 2))
-    field = F.regexp_extract(left, rf"(?:\.|->)\s*({NAME})$", 1)
-    bare = F.rlike(F.trim(left), F.lit(rf"^\.{NAME}$"))
-    via = F.when(field != "", "field_assign").when(F.endswith(F.trim(left), F.lit("]")), "table_assign").otherwise("var_assign")
-    a = lines.where(F.rlike("content", F.lit(assign)) & ~F.rlike("content", F.lit(r"^\s*#"))).select(
-        *FILE, "line", F.regexp_extract("content", assign, 3).alias("name"), via.alias("via"), F.when(bare, "").otherwise(field).alias("field"))
-    call = rf"({NAME})\s*\(([^()]*)\)\s*;"
-    fn = F.regexp_extract("content", call, 1)
-    args = F.explode(F.transform(F.split(F.regexp_extract("content", call, 2), ","), lambda p: F.regexp_extract(p, rf"^\s*&?\s*({NAME})\s*$", 1)))
-    r = lines.where(F.rlike(fn, F.lit(fixed.REGISTER_CALL))).select(*FILE, "line", args.alias("name"), F.lit("register_call").alias("via"), F.lit("").alias("field"))
-    return _inside(a.unionByName(r).where("name <> ''"), functions, "caller_hint")
-
-
-def extract_field_usage(files: DataFrame, functions: DataFrame, text: str = "text") -> DataFrame:
-    """Fields written (left side of ``=``) and read (any other access), with the enclosing function."""
-    lines = source_lines(files, text).where(~F.rlike("content", F.lit(r"^\s*(#|//|\*)")))
-    left = F.regexp_extract("content", rf"^\s*[\w\[\].>()*-]*?(?:->|\.)\s*({NAME})\s*=(?!=)", 1)
-    every = F.regexp_extract_all("content", F.lit(rf"(?:->|(?<=[\w\])])\.)\s*({NAME})"), F.lit(1))
-    last_left = F.size(F.regexp_extract_all(F.regexp_extract("content", r"^([^=]*)=(?!=)", 1), F.lit(rf"(?:->|(?<=[\w\])])\.)\s*({NAME})"), F.lit(1)))
-    rows = lines.select(*FILE, "line", left.alias("left"), last_left.alias("n"), F.posexplode(every).alias("pos", "field"))
-    access = F.when((F.col("left") != "") & (F.col("pos") == F.col("n") - 1), "write").otherwise("read")
-    return _inside(rows.select(*FILE, "line", "field", access.alias("access")), functions, "function")
+    out = "struct string, name string, pos int, type string, is_function_pointer boolean, line int"
+    return _found(files, text, ctext.Source.fields, out).drop("line")
+
+
+def extract_functions(files: DataFrame, text: str = "text") -> DataFrame:
+    """Function definitions and prototypes, over as many lines as they take, with return type and parameters (unnamed ones
+    dropped). A definition ends with its body; a body that is never closed ends with the file."""
+    keep = ("name", "start_line", "end_line", "return_type", "parameters", "definition")
+    out = "name string, start_line int, end_line int, return_type string, parameters array<string>, definition boolean"
+    return _found(files, text, lambda s: [{k: f[k] for k in keep} for f in s.functions], out)
+
+
+def extract_bindings(files: DataFrame, text: str = "text") -> DataFrame:
+    """Names bound by a field, table or variable, an initialiser, or a registering call, with the enclosing function."""
+    return _found(files, text, ctext.Source.bindings, "line int, name string, via string, field string, caller_hint string")
+
+
+def extract_field_usage(files: DataFrame, text: str = "text") -> DataFrame:
+    """Fields written (the whole left side of an assignment) and read (any other access), with the enclosing function."""
+    return _found(files, text, ctext.Source.usage, "line int, field string, access string, function string")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codefacts.functions.records import confidence_level
+from codefacts.session import cut_lineage
 
 PROJECT = "firmware"
 
@@ -19,6 +20,11 @@ class Facts:
         self.spark = spark
         self.folder = folder
 
+    def shared(self, *names: str) -> None:
+        """Writes the named facts once, for queries that read them in many places."""
+        for name in names:
+            self.__dict__[name] = cut_lineage(getattr(self, name))
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
@@ -197,6 +203,12 @@ class Facts:
             )
         )
 
+    @cached_property
+    def sources(self) -> DataFrame:
+        """A source tree of all documents: the project is the document's source."""
+        path = F.concat_ws("/", "source", "lang", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.when(F.col("lang") == "de", ".h").otherwise(".c")))
+        return self.table("documents").select(F.col("source").alias("project_id"), path.alias("path"), "text")
+
     @cached_property
     def file_versions(self) -> tuple[DataFrame, DataFrame]:
         """Two versions of a source tree: toxic documents are gone, those without a label are new, and good ones
