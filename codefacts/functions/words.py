@@ -20,9 +20,11 @@ def _split_name(token: Column) -> Column:
 
 def extract_keywords(text: Column | str) -> Column:
     """Query words of a text in first-seen order, then the aliases of its Chinese terms."""
-    raw = F.regexp_extract_all(_c(text), F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))
+    raw = F.array_distinct(F.regexp_extract_all(_c(text), F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1)))
     kept = F.filter(raw, lambda t: ~F.lower(t).isin(fixed.STOP_WORDS))
-    parts = F.transform(F.flatten(F.transform(kept, _split_name)), lambda p: F.lower(p))
+    # most words have neither an underscore nor a capital: they need no pattern
+    simple = lambda t: (F.lower(t) == t) & ~F.contains(t, F.lit("_"))
+    parts = F.flatten(F.transform(kept, lambda t: F.when(simple(t), F.array(t)).otherwise(F.transform(_split_name(t), lambda p: F.lower(p)))))
     own = F.filter(parts, lambda p: (F.length(p) >= 2) & ~p.isin(fixed.STOP_WORDS))
     aliases = F.flatten(
         F.array(

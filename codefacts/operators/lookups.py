@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codefacts.functions.paths import base_name, norm_path
-from codefacts.operators.substrings import contains_pairs, name_suffixes
+from codefacts.operators.substrings import broadcast_if_small, first_containing, name_suffixes
 
 
 def match_name(asked: DataFrame, names: DataFrame, column: str) -> DataFrame:
@@ -22,10 +22,8 @@ def match_name(asked: DataFrame, names: DataFrame, column: str) -> DataFrame:
     folded = folded.select(want["project_id"], "ask", F.lit(1).alias("tier"), "ord", column)
     done = folded.select("project_id", "ask").distinct()
     rest = want.join(done, ["project_id", "ask"], "left_anti")
-    pairs = contains_pairs(rest, "_low", first, "_n", ["project_id"])
-    part = rest.join(pairs, ["project_id", "_low"]).join(first, ["project_id", "_n"]).select(
-        "project_id", "ask", F.lit(2).alias("tier"), "ord", column
-    )
+    hit = first_containing(rest, "_low", first, "_n", F.struct("ord", column), ["project_id"])
+    part = rest.join(hit, ["project_id", "_low"]).select("project_id", "ask", F.lit(2).alias("tier"), "first.ord", F.col(f"first.{column}").alias(column))
     every = exact.unionByName(folded).unionByName(part)
     best = every.groupBy("project_id", "ask").agg(F.min(F.struct("tier", "ord", column)).alias("b"))
     return best.select("project_id", "ask", "b.tier", "b.ord", F.col(f"b.{column}").alias(column))
@@ -95,13 +93,13 @@ def weak_symbol_match(asked: DataFrame, symbols: DataFrame) -> DataFrame:
     want = asked.select("project_id", "ask").distinct().withColumn("_a", F.lower(F.trim("ask"))).where(F.length("_a") >= 4)
     have = symbols.select("project_id", "ord", "name", "type", "file", F.lower("name").alias("_n")).where(F.col("_n") != "")
     asks = want.select("project_id", "_a").distinct()
-    longer = have.select("*", F.explode(name_suffixes("_n", 4)).alias("_a")).where(F.col("_a") != F.col("_n")).join(asks, ["project_id", "_a"])
-    tails = asks.select("project_id", "_a", F.explode(name_suffixes("_a", 1)).alias("_n")).where(F.col("_a") != F.col("_n"))
-    shorter = have.join(tails, ["project_id", "_n"])
-    cols = ["project_id", "_a", "ord", "name", "type", "file"]
-    best = longer.select(*cols).unionByName(shorter.select(*cols)).groupBy("project_id", "_a").agg(
-        F.min(F.struct("ord", "name", "type", "file")).alias("b")
-    )
+    first = F.min(F.struct("ord", "name", "type", "file")).alias("b")
+    # the first symbol of every suffix and of every name is known before the questions are joined: one row per question
+    tails = have.select("*", F.explode(name_suffixes("_n", 4)).alias("_a")).where(F.col("_a") != F.col("_n"))
+    longer = tails.join(broadcast_if_small(asks), ["project_id", "_a"], "left_semi").groupBy("project_id", "_a").agg(first)
+    whole = have.groupBy("project_id", "_n").agg(first)
+    shorter = asks.select("project_id", "_a", F.explode(name_suffixes("_a", 1)).alias("_n")).where(F.col("_a") != F.col("_n")).join(whole, ["project_id", "_n"])
+    best = longer.unionByName(shorter.select("project_id", "_a", "b")).groupBy("project_id", "_a").agg(F.min("b").alias("b"))
     return want.join(best, ["project_id", "_a"]).select("project_id", "ask", "b.name", "b.type", "b.file")
 
 

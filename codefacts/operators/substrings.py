@@ -47,6 +47,30 @@ def contains_pairs(needles: DataFrame, needle: str, texts: DataFrame, text: str,
     return pairs.select(*keys, needle, text)
 
 
+def first_containing(needles: DataFrame, needle: str, texts: DataFrame, text: str, value: Column, keys: list[str]) -> DataFrame:
+    """``keys + [needle, first]``: the least ``value`` among the texts that contain a needle; one row per needle.
+
+    The least value of every wanted substring is taken before anything is joined to the needles, and combined before the
+    shuffle: a needle that all texts contain costs one row per task. Needles longer than ``KEY`` are first told apart by
+    their first ``KEY`` characters and then verified on the texts that share those.
+    """
+    wanted = needles.select(*keys, needle).where(F.length(needle) > 0).distinct().withColumn("_k", F.substring(needle, 1, KEY))
+    lengths = [r[0] for r in wanted.select(F.length("_k")).distinct().collect()]  # at most KEY of them
+    size = F.length(text)
+
+    def of_length(n: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.col(text).substr(i, F.lit(n)))
+        return F.when(size >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    pieces = F.array_distinct(F.flatten(F.array(*[of_length(n) for n in sorted(lengths)]))) if lengths else F.array().cast("array<string>")
+    cut = texts.select(*keys, text, value.alias("_v"), F.explode(pieces).alias("_k"))
+    hits = cut.join(broadcast_if_small(wanted.select(*keys, "_k").distinct()), [*keys, "_k"], "left_semi")
+    short = hits.where(F.length("_k") < KEY).groupBy(*keys, "_k").agg(F.min("_v").alias("first"))
+    long = hits.where(F.length("_k") == KEY).join(wanted.where(F.length(needle) >= KEY), [*keys, "_k"]).where(F.contains(F.col(text), F.col(needle)))
+    found = wanted.where(F.length(needle) < KEY).join(short, [*keys, "_k"]).select(*keys, needle, "first")
+    return found.unionByName(long.groupBy(*keys, needle).agg(F.min("_v").alias("first")))
+
+
 def name_suffixes(col: str, at_least: int):
     """All suffixes of a name with at least ``at_least`` characters, the name itself included."""
     n = F.length(col)
