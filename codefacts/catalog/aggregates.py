@@ -295,15 +295,17 @@ def w3(f: Facts):
     return entries(f).select("module", "name", "outside_calls", "rank")
 
 
-@add("w4_entry_candidates", """
+ENTRY_SQL = """
 select file, symbol, arg_min(reason, ord) as reason, arg_min(confidence, ord) as confidence from (
  select ord, file, name as symbol, 'contains main function' as reason, 'high' as confidence from ws where name='main'
  union all select ord, file, name, 'RTOS scheduler start', case when regexp_extract(file,'[^/]+$') in (select regexp_extract(path,'[^/]+$') from files where compile_status='compiled') then 'high' else 'medium' end from ws where name='vTaskStartScheduler'
  union all select c.ord, s.file, s.name, 'creates task via xTaskCreate', 'medium' from (select distinct caller, callee from wc) w join ws c on c.name='xTaskCreate' and w.callee='xTaskCreate'
-   join (select name, arg_min(file, ord) as file from ws group by name) s on s.name=w.caller) group by file, symbol""",
-     {"ws": "select ord, file, case when start_line=50 then 'main' when start_line=49 then 'vTaskStartScheduler' when ord=(select max(p_partkey) from part) then 'xTaskCreate' else name end as name, name as old from sym",
-      "wc": "select a.name as caller, b.name as callee from calls c join ws a on a.old=c.caller join ws b on b.old=c.callee"})
-def w4(f: Facts):
+   join (select name, arg_min(file, ord) as file from ws group by name) s on s.name=w.caller) group by file, symbol"""
+ENTRY_VIEWS = {"ws": "select ord, file, case when start_line=50 then 'main' when start_line=49 then 'vTaskStartScheduler' when ord=(select max(p_partkey) from part) then 'xTaskCreate' else name end as name, name as old from sym",
+      "wc": "select a.name as caller, b.name as callee from calls c join ws a on a.old=c.caller join ws b on b.old=c.callee"}
+
+
+def candidates(f: Facts):
     last = f.table("part").agg(F.max("p_partkey").alias("mx"))
     s = f.symbols.join(last, F.col("ord") == F.col("mx"), "left")
     name = F.when(F.col("start_line") == 50, "main").when(F.col("start_line") == 49, "vTaskStartScheduler").when(F.col("mx").isNotNull(), "xTaskCreate").otherwise(F.col("name"))
@@ -312,7 +314,12 @@ def w4(f: Facts):
     b = ws.select("project_id", F.col("old").alias("callee"), F.col("name").alias("c2"))
     wc = f.calls.select("project_id", "caller", "callee").join(a, ["project_id", "caller"]).join(b, ["project_id", "callee"]).select("project_id", F.col("c1").alias("caller"), F.col("c2").alias("callee"))
     out = quality.entry_candidates(ws, wc, f.files.where("compile_status = 'compiled'"))
-    return out.select("file", "symbol", "reason", "confidence")
+    return out
+
+
+@add("w4_entry_candidates", ENTRY_SQL, ENTRY_VIEWS)
+def w4(f: Facts):
+    return candidates(f).select("file", "symbol", "reason", "confidence")
 
 
 CHG = {"chg": """select coalesce(o.project_id,n.project_id) as project_id, coalesce(o.path,n.path) as path, case when o.path is null then 'added' when n.path is null then 'removed' else 'modified' end as change
