@@ -64,6 +64,14 @@ def ranked_neighbours(deps: DataFrame, top: int = 10) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
+def neighbour_lists(deps: DataFrame) -> DataFrame:
+    """All dependencies and consumers of every module as arrays, heaviest first, ties by name; modules of a project bound them."""
+    both = deps.select("project_id", F.col("from").alias("module"), F.struct(-F.col("weight"), F.col("to").alias("other")).alias("d"), F.lit(None).alias("c")).unionByName(
+        deps.select("project_id", F.col("to").alias("module"), F.lit(None).alias("d"), F.struct(-F.col("weight"), F.col("from").alias("other")).alias("c")))
+    names = lambda c: F.transform(F.sort_array(F.collect_list(c)), lambda x: x["other"])
+    return both.groupBy("project_id", "module").agg(names("d").alias("dependencies"), names("c").alias("consumers"))
+
+
 def module_links(calls: DataFrame, includes: DataFrame, module_symbols: DataFrame, module_files: DataFrame) -> DataFrame:
     """Distinct unordered pairs of modules that call or include each other: ``(project_id, a, b)`` with a < b."""
     pairs = _call_links(calls, module_symbols, None).select("project_id", "m1", "m2").unionByName(

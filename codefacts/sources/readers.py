@@ -136,7 +136,8 @@ def read_scope_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(project_id, kind, ord, pattern, name)`` from scope configuration texts.
 
     Sections project, third_party, ignore and build; list items are rules, ``path:``/``name:`` lines complete a
-    library, ``target:`` names the build target (kind target).
+    library, ``target:`` names the build target (kind target). A project section without items is a white list that
+    holds nothing: a rule of kind project without a pattern.
     """
     raw = docs.select("project_id", F.posexplode(F.split(text, r"\r?\n")).alias("ord", "l")).withColumn("l", F.trim("l")).where("l <> '' and not startswith(l, '#')")
     w = Window.partitionBy("project_id").orderBy("ord")
@@ -154,7 +155,42 @@ def read_scope_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     libs = lib.groupBy("project_id", "no").agg(F.min("ord").alias("ord"), path.alias("pattern"), F.max(F.when(F.col("key") == "name", F.col("value"))).alias("name")).where("coalesce(pattern, '') <> ''")
     libs = libs.select("project_id", F.lit("third_party").alias("kind"), "ord", "pattern", scope_name_of(F.regexp_replace("pattern", r"/+\*\*$", ""), F.col("name")).alias("name"))
     target = rows.where("section = 'build' and key = 'target' and value <> ''").select("project_id", F.lit("target").alias("kind"), "ord", F.col("value").alias("pattern"), F.lit(None).cast("string").alias("name"))
-    return plain.unionByName(libs).unionByName(target)
+    bare = raw.where(head & (word == "project")).groupBy("project_id").agg(F.min("ord").alias("ord")).join(plain.where("kind = 'project'"), "project_id", "left_anti")
+    none = F.lit(None).cast("string")
+    return plain.unionByName(libs).unionByName(target).unionByName(bare.select("project_id", F.lit("project").alias("kind"), "ord", none.alias("pattern"), none.alias("name")))
+
+
+def read_legacy_ignore(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Ignore rules of older files: the list items that follow ``ignore:``, up to the first line that is none."""
+    raw = docs.select("project_id", F.posexplode(F.split(text, r"\r?\n")).alias("ord", "l")).withColumn("l", F.trim(F.regexp_replace("l", "^\ufeff", ""))).where("l <> '' and not startswith(l, '#')")
+    w = Window.partitionBy("project_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    item, head = F.startswith("l", F.lit("-")), F.startswith("l", F.lit("ignore:"))
+    # an item counts while the last line that is no item opened the list
+    rows = raw.withColumn("_in", F.last(F.when(~item, head), ignorenulls=True).over(w)).where("_in")
+    pattern = F.trim(F.regexp_replace(F.when(head, F.substr("l", F.lit(8))).otherwise(F.col("l")), r"^\s*-", ""))
+    listed = rows.where(item | F.rlike("l", F.lit(r"^ignore:\s*-"))).select("project_id", F.lit("ignore").alias("kind"), "ord", pattern.alias("pattern"), F.lit(None).cast("string").alias("name"))
+    return listed.where("pattern <> ''")
+
+
+def load_scope_rules(configs: DataFrame, legacy: DataFrame) -> DataFrame:
+    """Rules of every project: its configuration where there is one, else its older ignore file; both ``(project_id, text)``."""
+    return read_scope_rules(configs).unionByName(read_legacy_ignore(legacy.join(configs.select("project_id").distinct(), "project_id", "left_anti")))
+
+
+def detect_build_systems(files: DataFrame, compiled: DataFrame) -> DataFrame:
+    """Build systems that the files of a project show, for ``pick_build_system``.
+
+    ``files(project_id, path)``; ``compiled`` is ``read_compile_commands`` of the compile databases: an empty one does not
+    count. CMake, Ninja, Make and the pin configuration are looked for at the top, Keil and IAR projects anywhere.
+    """
+    top = {"CMakeLists.txt": "cmake", "build.ninja": "ninja", "Makefile": "make"}
+    suffix, at_top = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)), ~F.contains("path", F.lit("/"))
+    system = F.lit(None).cast("string")
+    for name, found in top.items():
+        system = F.when(F.col("path") == name, found).otherwise(system)
+    system = F.when(suffix.isin(".uvprojx", ".uvproj"), "keil").when(suffix == ".ewp", "iar").when(at_top & (suffix == ".ioc"), "stm32_ioc").otherwise(system)
+    shown = files.select("project_id", system.alias("system")).where("system is not null")
+    return shown.unionByName(compiled.select("project_id", F.lit("compile_commands").alias("system"))).distinct()
 
 
 def scope_rules_text(rules: DataFrame) -> DataFrame:

@@ -27,8 +27,10 @@ STATE_TABLES = {
     "evidence": "project_id string, task_id string, id string, type string, command string, exit_code int, result string, timestamp timestamp",
     "decisions": "project_id string, task_id string, id string, result string, rule string, reason string, created_at timestamp",
     "events": "project_id string, task_id string, seq bigint, type string, agent_id string, payload string, ts timestamp",
-    "memory": "project_id string, task_id string, id string, key string, value string, created_at timestamp",
+    "projects": "project_id string, name string, root string, created_at timestamp",
 }
+#: What identifies a row of the tables whose rows change; a change is a newer revision of the row.
+STATE_KEYS = {"projects": ["project_id"], "tasks": ["project_id", "task_id"], "agents": ["project_id", "task_id", "agent_id"], "findings": ["project_id", "id"]}
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -122,15 +124,47 @@ def refresh_index(spark: SparkSession, root: str, snapshot_id: str, files: DataF
     return write_index({"files": files}, root, snapshot_id, reuse=reuse)
 
 
+def _columns(table: str) -> list[str]:
+    return [c.strip().split(" ")[0] for c in STATE_TABLES[table].split(",")]
+
+
 def append_state(rows: DataFrame, root: str, table: str) -> None:
     """Insert rows into one of the nine state tables."""
-    cols = [c.strip().split(" ")[0] for c in STATE_TABLES[table].split(",")]
-    rows.select(*cols).write.mode("append").partitionBy("project_id").parquet(f"{root}/{table}")
+    own = rows.select(*_columns(table), (F.col("revision") if "revision" in rows.columns else F.lit(0)).cast("bigint").alias("revision"))
+    own.write.mode("append").partitionBy("project_id").parquet(f"{root}/{table}")
+
+
+def _newest(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """Rows of a table, of those that change the last revision, with its number."""
+    df = read_or_empty(spark, f"{root}/{table}", STATE_TABLES[table] + ", revision bigint").withColumn("revision", F.coalesce("revision", F.lit(0)))
+    if table not in STATE_KEYS:
+        return df
+    rest = [c for c in df.columns if c not in STATE_KEYS[table]]
+    return df.groupBy(*STATE_KEYS[table]).agg(F.max(F.struct("revision", *[c for c in rest if c != "revision"])).alias("r")).select(
+        *STATE_KEYS[table], *[F.col(f"r.{c}").alias(c) for c in rest])
+
+
+def update_state(changes: DataFrame, root: str, table: str) -> None:
+    """Sets the columns of ``changes`` in the rows that its keys name, where they exist; a null changes nothing.
+
+    The old row stays, a newer revision stands before it; so nothing is rewritten and a reader sees the old or the new row.
+    """
+    keys = STATE_KEYS[table]
+    given = [c for c in changes.columns if c not in keys]
+    new = changes.select(*keys, *[F.col(c).alias(f"_{c}") for c in given])
+    rows = _newest(changes.sparkSession, root, table).join(new, keys)
+    rows = rows.withColumns({c: F.coalesce(f"_{c}", c) for c in given}).withColumn("revision", F.col("revision") + 1)
+    append_state(cut_lineage(rows), root, table)
+
+
+def get_state(spark: SparkSession, root: str, table: str, ids: DataFrame) -> DataFrame:
+    """Rows of a state table that ``ids`` names by some of its columns; what does not exist has no row."""
+    return _newest(spark, root, table).drop("revision").join(ids.distinct(), ids.columns, "left_semi")
 
 
 def list_state(spark: SparkSession, root: str, table: str, task_id: str | None = None, after_seq: int | None = None) -> DataFrame:
     """Rows of a state table, by task, in time order; events by ``seq`` after a position."""
-    df = read_or_empty(spark, f"{root}/{table}", STATE_TABLES[table])
+    df = _newest(spark, root, table).drop("revision").select(*_columns(table))
     if task_id is not None:
         df = df.where(F.col("task_id") == task_id)
     if after_seq is not None:
@@ -139,6 +173,36 @@ def list_state(spark: SparkSession, root: str, table: str, task_id: str | None =
     return df.orderBy(order)
 
 
+DOCUMENTS = ("project_id string, document string, modules array<string>, relations array<string>, knowledge_sources array<string>, uses_build boolean, "
+             "source_fp string, build_fp string, scope_fp string")
+
+
+def load_document_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """What was recorded of the documents of each project; nothing where there is no manifest or it cannot be read."""
+    return read_or_empty(spark, path, DOCUMENTS)
+
+
+def record_documents(made: DataFrame, current: DataFrame, path: str) -> None:
+    """Records documents that were made, in place of what was known of them, and the fingerprints that they rest on.
+
+    ``made(project_id, document, modules, relations, knowledge_sources, uses_build)``; ``current(project_id, source_fp,
+    build_fp, scope_fp)`` becomes the baseline of all documents of its projects. Other projects are not touched.
+    """
+    spark = made.sparkSession
+    keys = ["project_id", "document"]
+    lists = ["modules", "relations", "knowledge_sources"]
+    new = made.select(*keys, *[F.array_sort(F.array_distinct(c)).alias(c) for c in lists], "uses_build")
+    old = load_document_manifest(spark, path).select(*keys, *lists, "uses_build").join(current.select("project_id"), "project_id", "left_semi").join(new.select(*keys), keys, "left_anti")
+    rows = cut_lineage(old.unionByName(new).join(current.select("project_id", "source_fp", "build_fp", "scope_fp"), "project_id"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(path)
+
+
+def documents_present(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """Whether the file of each recorded document is there: ``files(project_id, path)``."""
+    there = files.select("project_id", F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("document")).distinct().withColumn("_t", F.lit(True))
+    return manifest.join(there, ["project_id", "document"], "left").select("project_id", "document", F.col("_t").isNotNull().alias("present"))
+
+
 RESPONSIBILITY = "project_id string, module string, responsibility string, confidence string, generated_by string, entry_points string, dependencies string, consumers string, symbol_count bigint"
 
 
