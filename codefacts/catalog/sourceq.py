@@ -10,6 +10,11 @@ from codefacts.projection import PROJECT, Facts
 from codefacts.sources import readers
 
 
+def spread(f: Facts):
+    """The parts dealt to all cores: each of the few rows of this small table becomes a text to work on."""
+    return f.table("part").repartition(f.spark.sparkContext.defaultParallelism, "p_partkey")
+
+
 def c_sources(f: Facts):
     """One C file per part: a macro, a struct with a callback, an enum and a function that uses them."""
     k, s = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
@@ -22,7 +27,7 @@ def c_sources(f: Facts):
         F.concat(F.lit("  p->cb = on_"), k, F.lit(";")), F.concat(F.lit("  register_cb(&on_"), k, F.lit(");")), F.lit("  return n;"), F.lit("}"),
     ]
     path = F.concat(F.lit("src/p"), k, F.when(F.col("p_size") % 2 == 0, F.lit(".c")).otherwise(F.lit(".h")))
-    return f.table("part").select(F.lit(PROJECT).alias("project_id"), path.alias("path"), F.concat_ws("\n", *lines).alias("text"))
+    return spread(f).select(F.lit(PROJECT).alias("project_id"), path.alias("path"), F.concat_ws("\n", *lines).alias("text"))
 
 
 CP = {"cp": "select *, concat('src/p',p_partkey,case when p_size % 2=0 then '.c' else '.h' end) as path, cast(p_partkey as varchar) as k, cast(p_size as varchar) as s, lower(p_type) as t from part"}
@@ -209,7 +214,7 @@ def c_shapes(f: Facts):
     k = F.col("p_partkey")
     shape = F.get(F.array(*[F.lit(x) for x in SHAPES]), (k % 6).cast("int"))
     text = F.replace(F.replace(shape, F.lit("_K"), F.concat(F.lit("_"), k.cast("string"))), F.lit("[S]"), F.concat(F.lit("["), F.col("p_size").cast("string"), F.lit("]")))
-    return f.table("part").select(F.lit(PROJECT).alias("project_id"), F.concat(F.lit("shape/p"), k.cast("string"), F.lit(".c")).alias("path"), text.alias("text"))
+    return spread(f).select(F.lit(PROJECT).alias("project_id"), F.concat(F.lit("shape/p"), k.cast("string"), F.lit(".c")).alias("path"), text.alias("text"))
 
 
 SHAPED = {"sp": "select p_partkey % 6 as shape, cast(p_partkey as varchar) as k, cast(p_size as varchar) as s, concat('shape/p',p_partkey,'.c') as path from part"}

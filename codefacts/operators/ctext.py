@@ -52,16 +52,34 @@ class Source:
     def __init__(self, text: str):
         self.text = text
         self.code = _QUIET.sub(_blank, text)
-        self.plain = _QUIET.sub(_comment, text)  # literals stay readable
-        self.newlines = [m.start() for m in re.finditer("\n", text)]
-        at = {c: np.array([m.start() for m in re.finditer(re.escape(c), self.code)], np.int64) for c in "{}()[]"}
-        self.braces, self.round, self.square = (self._depth(at[a], at[b]) for a, b in ("{}", "()", "[]"))
+        self.bytes = np.frombuffer(self.code.encode("utf-32-le"), np.uint32)
 
-    def _depth(self, opened: np.ndarray, closed: np.ndarray) -> np.ndarray:
+    @cached_property
+    def plain(self) -> str:
+        """The text without comments and directives; literals stay readable."""
+        return _QUIET.sub(_comment, self.text)
+
+    @cached_property
+    def newlines(self) -> list[int]:
+        return [m.start() for m in re.finditer("\n", self.text)]
+
+    @cached_property
+    def braces(self) -> np.ndarray:
+        return self._depth("{}")
+
+    @cached_property
+    def round(self) -> np.ndarray:
+        return self._depth("()")
+
+    @cached_property
+    def square(self) -> np.ndarray:
+        return self._depth("[]")
+
+    def _depth(self, pair: str) -> np.ndarray:
         """Depth before every position; the opening and the closing bracket of a pair have the same outside depth."""
-        step = np.zeros(len(self.code) + 2, np.int32)
-        step[opened + 1] += 1
-        step[closed] -= 1
+        step = np.zeros(len(self.bytes) + 2, np.int32)
+        step[1:-1] += self.bytes == ord(pair[0])
+        step[:-2] -= self.bytes == ord(pair[1])
         return np.cumsum(step)
 
     def line(self, position: int) -> int:

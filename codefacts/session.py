@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +34,9 @@ def _shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints, else one below the session's warehouse, which all executors share."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    home = spark.conf.get("spark.sql.warehouse.dir")
+    if not named and not sc.master.startswith("local") and home.startswith("file:"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_lineage").rstrip("/")
 
 
@@ -60,6 +64,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return out
 
 
+def cut_lineages(*frames: DataFrame) -> list[DataFrame]:
+    """``cut_lineage`` of several frames that do not build on each other; their jobs run side by side."""
+    with ThreadPoolExecutor(max(1, len(frames))) as pool:
+        return list(pool.map(cut_lineage, frames))
+
+
 def drop_lineage(df: DataFrame) -> None:
     """Delete the files behind a DataFrame of ``cut_lineage`` that nothing reads any more."""
     path = getattr(df, "_lineage_path", None)
