@@ -88,46 +88,56 @@ def fit(examples: list[tuple[int, str]], penalty: float = PENALTY, steps: int =
     The labels weigh TOXIC_SHARE and the rest, however many rows have them. ``penalty`` weighs the mean squared change of the linear score under swaps.
     """
     examples = distinct(examples)
-    rows = [features_of(words_of(t)) for _, t in examples]
+    numbers: dict[str, int] = {}  # features as numbers, so that each is held once
+    number = lambda words: np.array(sorted({numbers.setdefault(w, len(numbers)) for w in features_of(words)}), np.int32)
+    rows = [number(words_of(t)) for _, t in examples]
     y = np.array([v for v, _ in examples], float)
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
     if not n1 or not n0:
         return {"": math.log(TOXIC_SHARE / (1 - TOXIC_SHARE))}
-    seen = [Counter(w for r, v in zip(rows, y, strict=True) if v == c for w in r) for c in (0, 1)]
+    swaps = [(i, number(c)) for i, (_, t) in enumerate(examples) for c in counterfactuals(t)]
+    names = list(numbers)
+    seen = [np.bincount(np.concatenate([r for r, v in zip(rows, y, strict=True) if v == c]), minlength=len(names)) for c in (0, 1)]
     strength = {}  # signed root of the likelihood ratio against equal shares under both labels
-    for w in seen[1].keys() | seen[0].keys():
-        a, b = seen[1][w], seen[0][w]
+    for f in np.flatnonzero(seen[0] + seen[1] >= 5).tolist():
+        a, b = int(seen[1][f]), int(seen[0][f])
         both = (a + b) / (n1 + n0)
-        if a + b >= 5 and both < 1:
+        if both < 1:
             ratio = sum(k * math.log(k / n / e) for k, n, e in ((a, n1, both), (b, n0, both), (n1 - a, n1, 1 - both), (n0 - b, n0, 1 - both)) if k)
-            strength[w] = math.sqrt(max(0.0, 2 * ratio)) * (1 if a * n0 > b * n1 else -1)
-    chosen = sorted((w for w in strength if abs(strength[w]) >= LEAST_Z), key=lambda w: (-abs(strength[w]), w))[:VOCABULARY]
-    swaps = [(r, c) for r, (_, t) in zip(rows, examples, strict=True) for c in map(features_of, counterfactuals(t))]
-    chosen = sorted({*chosen, *(t for r, c in swaps for t in r ^ c if t in strength)})
-    place = {w: i for i, w in enumerate(chosen)}
-
-    def matrix(sets: list[set[str]]) -> np.ndarray:
-        out = np.zeros((len(sets), len(chosen) + 1), np.float32)
-        for i, s in enumerate(sets):
-            out[i, [place[w] for w in s if w in place]] = 1
-        return out
-
-    x = matrix(rows)
-    x[:, -1] = 1
-    change = matrix([c for _, c in swaps]) - matrix([r for r, _ in swaps]) if swaps else np.zeros((0, x.shape[1]), np.float32)
+            strength[f] = math.sqrt(max(0.0, 2 * ratio)) * (1 if a * n0 > b * n1 else -1)
+    chosen = sorted((f for f in strength if abs(strength[f]) >= LEAST_Z), key=lambda f: (-abs(strength[f]), names[f]))[:VOCABULARY]
+    moved = [(np.setdiff1d(c, rows[i]), np.setdiff1d(rows[i], c)) for i, c in swaps]
+    chosen = sorted({*chosen, *(f for pair in moved for part in pair for f in part.tolist() if f in strength)}, key=lambda f: names[f])
+    place = np.full(len(names), -1)
+    place[chosen] = np.arange(len(chosen))
+    width = len(chosen) + 1
+
+    # sparse rows: (row, column, value) of every entry; the last column is the constant
+    def entries(parts: list[tuple[int, np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.concatenate([np.full(len(f), i) for i, f, _ in parts] or [np.zeros(0, int)])
+        column = np.concatenate([place[f] for _, f, _ in parts] or [np.zeros(0, int)])
+        value = np.concatenate([np.full(len(f), v) for _, f, v in parts] or [np.zeros(0)])
+        held = column >= 0
+        return at[held], column[held], value[held]
+
+    forward = lambda m, n, w: np.bincount(m[0], m[2] * w[m[1]], n)
+    back = lambda m, v: np.bincount(m[1], m[2] * v[m[0]], width)
+    x = entries([(i, r, 1.0) for i, r in enumerate(rows)])
+    change = entries([(i, f, v) for i, (more, less) in enumerate(moved) for f, v in ((more, 1.0), (less, -1.0))])
     share = np.where(y == 1, TOXIC_SHARE / n1, (1 - TOXIC_SHARE) / n0)
-    w, speed = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    w, speed = np.zeros(width), np.zeros(width)
     # steps stay below the inverse of the steepest curvature of the penalty
-    steepest = penalty * float((change.astype(float) ** 2).sum(axis=1).max()) if len(change) else 0.0
+    steepest = penalty * float(np.bincount(change[0], change[2] ** 2).max(initial=0.0)) if moved else 0.0
     rate = 4.0 / (1.0 + steepest)
-    for _ in range(steps if not len(change) else steps * 4):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (share * (p - y)) + 1e-4 * np.append(w[:-1], 0)
-        if len(change):
-            slope = slope + penalty * (change.T @ (change @ w)) / len(change)
+    for _ in range(steps * 4 if moved else steps):
+        p = 1 / (1 + np.exp(-np.clip(forward(x, len(rows), w) + w[-1], -30, 30)))
+        slope = back(x, share * (p - y)) + 1e-4 * np.append(w[:-1], 0)
+        slope[-1] += (share * (p - y)).sum()
+        if moved:
+            slope = slope + penalty * back(change, forward(change, len(moved), w)) / len(moved)
         speed = 0.8 * speed - rate * 0.2 * slope
         w = w + speed
-    return {**dict(zip(chosen, w[:-1].tolist(), strict=True)), "": float(w[-1])}
+    return {**{names[f]: float(v) for f, v in zip(chosen, w[:-1], strict=True)}, "": float(w[-1])}
 
 
 def scored(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
