@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codefacts.catalog.aggregates import VIA, deps, mfiles, msyms
 from codefacts.catalog.base import add
 from codefacts.catalog.joins import ASKED, INDIRECT_VIEW, asked_names, indirect
+from codefacts.catalog.scalars import _layer_sql
 from codefacts.functions import fixed
 from codefacts.functions.words import classify_module
 from codefacts.operators import candidates, lookups
@@ -210,10 +211,26 @@ def w6(f: Facts):
     return candidates.score_gap(cand(f)[0]).drop("project_id")
 
 
-@add("q15_evaluate_gate")
+GATED = {
+    **CAND,
+    "modkinds": f"select module, {_layer_sql().replace('lower(file)', 'lower(ff)')} as type from (select module, min(file) as ff from sym group by module)",
+    "modlayers": "select m as module, list(distinct k.type) as types from mimp join modkinds k on k.module=o group by m",
+    "pub": "select distinct module from sym where type in ('struct','enum') and start_line > 49",
+    "gateagg": """select c.query_id, count(*) as n, bool_or(p.module is not null or coalesce(d.n,0) >= 3) as public, round(max(score) filter (where rank=1) - max(score) filter (where rank=2),2) as gap,
+      max(c.module) filter (where rank=1) as module, max(confidence) filter (where rank=1) as confidence, max(n_impacted) filter (where rank=1) as n_impacted
+      from cand c left join pub p on p.module=c.module left join (select "to", count(*) as n from deps group by "to") d on d."to"=c.module group by c.query_id""",
+    "gate": """select query_id, n, confidence, g.module, concat_ws(',', case when n >= 2 then 'several_candidates' end, case when n >= 2 and gap < 0.2 then 'close_scores' end, case when public then 'public_interface' end,
+      case when n_impacted > 5 then 'large_impact' end, case when coalesce(k.type,'unknown') <> 'unknown' and len(coalesce(l.types,[])) > 0 and len(list_distinct(list_append(coalesce(l.types,[]), k.type))) >= 2 then 'crosses_layers' end) as reasons
+      from gateagg g left join modkinds k on k.module=g.module left join modlayers l on l.module=g.module""",
+}
+
+
+@add("q15_evaluate_gate", """
+select query_id, not (reasons = '' and n = 1 and confidence = 'HIGH') as confirm, reasons, case when reasons = '' and n = 1 and confidence = 'HIGH' then module end as selected from gate""", GATED)
 def q15(f: Facts):
+    """Public are modules that hold a struct or an enum which starts late in its file."""
     c, imp, lib = cand(f)
     cons = deps(f).groupBy("project_id", F.col("to").alias("module")).agg(F.count("*").alias("n"))
-    public = f.symbols.where("type in ('struct','enum')").select("project_id", F.col("name").alias("module"))
+    public = f.symbols.where("type in ('struct','enum') and start_line > 49").select("project_id", "module")
     types = lib.select("project_id", "module", classify_module("module", "ff").alias("type"))
     return candidates.evaluate_gate(c, cons, public, imp, types).drop("project_id")
