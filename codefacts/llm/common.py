@@ -44,7 +44,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                              .select("node", "label", (F.col("label") != F.col("was")).alias("moved")))
         drop_lineage(before)
     drop_lineage(both)
-    return labels.select("node", F.col("label").alias("component"))
+    out = labels.select("node", F.col("label").alias("component"))
+    out._lineage_path = labels._lineage_path  # a caller may drop what it no longer reads
+    return out
 
 
 def running_sums(values: Column) -> Column:

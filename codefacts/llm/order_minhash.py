@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codefacts.llm.common import components
-from codefacts.session import cut_lineage
+from codefacts.session import cut_lineage, drop_lineage
 
 SHINGLE = 5
 SKETCHES = 18
@@ -296,7 +296,9 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY) -> Da
         apart = placed(placed(stars, classes, "head", "ca"), classes, "content", "cb").where("ca <> cb")
         new = links(apart.join(sizes, "head").where(alike).select(F.col("head").alias("a"), F.col("content").alias("b")))
         edges = new if edges is None else edges.unionByName(new)
-        classes = components(edges)
+        before, classes = classes, components(edges)
+        if before is not None:
+            drop_lineage(before)
 
     for turn in range(ROUNDS):
         star_round(singles.where(F.col("i") % ROUNDS == turn))
@@ -312,18 +314,28 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY) -> Da
     crowded = contents.join(asked, "content", "left_semi").select("content", "n", F.posexplode(F.transform(triples, key)).alias("i", "key"))
     keyed = outside(crowded)
     for turns in (8, 1):  # texts that share a triple are alike, so their heads settle most of what is left
-        star_round(bucketed(keyed.where(F.col("i") % turns == 0).drop("component")))
-        keyed = outside(keyed.drop("component"))
-    keyed = outside(singles.drop("head"))
+        buckets = bucketed(keyed.where(F.col("i") % turns == 0).drop("component"))
+        star_round(buckets)
+        before, keyed = keyed, outside(keyed.drop("component"))
+        drop_lineage(buckets)
+        drop_lineage(before)
+    before, keyed = keyed, outside(singles.drop("head"))
+    drop_lineage(before)
+    drop_lineage(singles)
     crowd = codes.join(keyed.select("content").distinct(), "content", "left_semi").mapInPandas(_signature_rows, "content binary, bits array<bigint>")
-    keyed = cut_lineage(keyed.join(crowd, "content").join(contents.select("content", "keys"), "content"))
+    before, keyed = keyed, cut_lineage(keyed.join(crowd, "content").join(contents.select("content", "keys"), "content"))
+    drop_lineage(before)
     tops = keyed.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("top"))
     rest = keyed.join(tops, "key").where("component <> top").select("key", F.col("content").alias("x"), F.col("n").alias("n_a"), F.col("component").alias("cx"), F.col("bits").alias("bits_x"), F.col("keys").alias("keys_x"), "i", "top")
     every = keyed.select("key", F.col("content").alias("y"), F.col("n").alias("n_b"), F.col("component").alias("cy"), F.col("bits").alias("bits_y"), F.col("keys").alias("keys_y"))
     once = (F.col("cy") == F.col("top")) | (F.col("x") < F.col("y"))  # a pair of two outsiders comes from both ends
     listed = (_first_sketch("keys_x", "keys_y") == F.col("i")) & _plausible("bits_x", "bits_y", threshold)
     across = rest.join(every, (rest["key"] == every["key"]) & (F.col("cx") != F.col("cy")) & once & alike & listed).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    final = components(edges.unionByName(links(across))).withColumnRenamed("node", "content")
+    last = links(across)
+    for done in (keyed, codes, classes):
+        drop_lineage(done)
+    final = components(edges.unionByName(last)).withColumnRenamed("node", "content")
+    drop_lineage(last)
     named = contents.select("content", "first_id").join(final, "content", "left").withColumn("component", F.coalesce("component", "content"))
     least = named.groupBy("component").agg(F.min("first_id").alias("class_id"))
     classes = named.join(least, "component").select("content", "class_id")
