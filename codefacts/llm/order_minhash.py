@@ -8,7 +8,8 @@ both less that subsequence (the Jaccard similarity that respects order); a bande
 
 Groups of copies are never paired with each other. Equal word sequences collapse to one content first. In rounds, each
 content is aligned with one head per bucket (a star) unless both are connected by then; every bucket has a head of its own
-choosing, so a loose family meets many of its members; the last star rounds take buckets of three sketches together. What then
+choosing, so a loose family meets many of its members; the last star rounds take buckets of three sketches together and align
+what lies outside a bucket's largest component with one head of that component. What then
 lies outside the largest component of a bucket of one sketch is aligned with the contents of other components in it, unless
 their signatures differ by five standard deviations more than those of a pair at the threshold. So every pair that shares a
 sketch at all is connected or compared. A tight group of a million near
@@ -253,6 +254,17 @@ def sketch_table(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(_sketch_rows, "doc_id bigint, content binary, n bigint, keys array<bigint>")
 
 
+def _outsiders(keyed: DataFrame) -> DataFrame:
+    """The rows of ``keyed(key, content, component, …)`` outside the largest component of their bucket, with a ``head`` from that one.
+
+    A large component that one outsider shares its buckets with gives one head per bucket, not all its rows.
+    """
+    parts = keyed.groupBy("key", "component").agg(F.count("*").alias("members"), F.min_by("content", F.xxhash64("content", "key")).alias("head"))
+    tops = parts.groupBy("key").agg(F.max_by(F.struct("component", "head"), F.struct("members", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    tops = tops.select(F.col("key").alias("_key"), F.col("top.component").alias("_top"), F.col("top.head").alias("head"))
+    return keyed.join(tops, (F.col("key") == F.col("_key")) & (F.col("component") != F.col("_top"))).drop("_key", "_top")
+
+
 def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """``doc_id``, ``content``, ``class_id`` (smallest doc_id linked, directly or through others), ``kept``.
 
@@ -278,7 +290,9 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY) -> Da
     def links(pairs: DataFrame) -> DataFrame:
         left = codes.select(F.col("content").alias("a"), F.col("codes").alias("codes_a"))
         right = codes.select(F.col("content").alias("b"), F.col("codes").alias("codes_b"))
-        found = pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(_verified(threshold), "a binary, b binary, similarity double")
+        # the codes are small and the alignment is not: the tasks go by cores, not by bytes
+        spread = pairs.select("a", "b").join(left, "a").join(right, "b").repartition(4 * docs.sparkSession.sparkContext.defaultParallelism, "a", "b")
+        found = spread.mapInPandas(_verified(threshold), "a binary, b binary, similarity double")
         return cut_lineage(found.where("similarity >= 0").select("a", "b"))
 
     def placed(buckets: DataFrame, classes: DataFrame | None, name: str, out: str) -> DataFrame:
@@ -287,40 +301,41 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY) -> Da
         known = classes.select(F.col("node").alias(name), F.col("component").alias("_c"))
         return buckets.join(known, name, "left").withColumn(out, F.coalesce("_c", name)).drop("_c")
 
-    edges = classes = None
+    classes = None
     sizes = contents.select(F.col("content").alias("head"), F.col("n").alias("n_a"))
 
-    def star_round(buckets: DataFrame) -> None:
-        nonlocal edges, classes
-        stars = buckets.where(F.col("content") != F.col("head")).select("head", "content", F.col("n").alias("n_b")).distinct()
+    def star_round(stars: DataFrame) -> None:
+        """Aligns the contents of ``stars(head, content, n_b)`` with the heads of other components."""
+        nonlocal classes
         apart = placed(placed(stars, classes, "head", "ca"), classes, "content", "cb").where("ca <> cb")
         new = links(apart.join(sizes, "head").where(alike).select(F.col("head").alias("a"), F.col("content").alias("b")))
-        edges = new if edges is None else edges.unionByName(new)
-        before, classes = classes, components(edges)
-        if before is not None:
-            drop_lineage(before)
+        classes = joined(classes, new)
+        drop_lineage(new)
+
+    def joined(classes: DataFrame | None, new: DataFrame) -> DataFrame:
+        """The components after ``new`` links: only whole components are joined, not the links before once more."""
+        if classes is None:
+            return components(new)
+        between = placed(placed(new, classes, "a", "ca"), classes, "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        merged = components(between)
+        alone = new.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node", "left_anti").select("node", F.col("node").alias("component"))
+        to = merged.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+        out = cut_lineage(classes.unionByName(alone).join(to, "component", "left").select("node", F.coalesce("_to", "component").alias("component")))
+        drop_lineage(merged)
+        drop_lineage(classes)
+        return out
 
     for turn in range(ROUNDS):
-        star_round(singles.where(F.col("i") % ROUNDS == turn))
+        star_round(singles.where((F.col("i") % ROUNDS == turn) & (F.col("content") != F.col("head"))).select("head", "content", F.col("n").alias("n_b")).distinct())
     triples = F.array(*[F.struct(*[F.lit(x) for x in t]) for t in _triples()])
     key = lambda t: F.xxhash64(t["col1"], t["col2"], t["col3"], F.get("keys", t["col1"]), F.get("keys", t["col2"]), F.get("keys", t["col3"]))
-
-    def outside(keyed: DataFrame) -> DataFrame:
-        """The buckets that still hold several components."""
-        keyed = placed(keyed, classes, "content", "component")
-        several = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-        return cut_lineage(keyed.join(several, "key", "left_semi"))
-
-    crowded = contents.join(asked, "content", "left_semi").select("content", "n", F.posexplode(F.transform(triples, key)).alias("i", "key"))
-    keyed = outside(crowded)
+    met = contents.join(asked, "content", "left_semi").select("content", "n", "keys")
     for turns in (8, 1):  # texts that share a triple are alike, so their heads settle most of what is left
-        buckets = bucketed(keyed.where(F.col("i") % turns == 0).drop("component"))
-        star_round(buckets)
-        before, keyed = keyed, outside(keyed.drop("component"))
-        drop_lineage(buckets)
-        drop_lineage(before)
-    before, keyed = keyed, outside(singles.drop("head"))
-    drop_lineage(before)
+        every = placed(met, classes, "content", "component").select("content", "n", "component", F.posexplode(F.transform(triples, key)).alias("i", "key"))
+        star_round(cut_lineage(_outsiders(every.where(F.col("i") % turns == 0)).select("head", "content", F.col("n").alias("n_b")).distinct()))
+    keyed = placed(singles.drop("head"), classes, "content", "component")
+    several = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    keyed = cut_lineage(keyed.join(several, "key", "left_semi"))
     drop_lineage(singles)
     crowd = codes.join(keyed.select("content").distinct(), "content", "left_semi").mapInPandas(_signature_rows, "content binary, bits array<bigint>")
     before, keyed = keyed, cut_lineage(keyed.join(crowd, "content").join(contents.select("content", "keys"), "content"))
@@ -331,10 +346,12 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY) -> Da
     once = (F.col("cy") == F.col("top")) | (F.col("x") < F.col("y"))  # a pair of two outsiders comes from both ends
     listed = (_first_sketch("keys_x", "keys_y") == F.col("i")) & _plausible("bits_x", "bits_y", threshold)
     across = rest.join(every, (rest["key"] == every["key"]) & (F.col("cx") != F.col("cy")) & once & alike & listed).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    across = cut_lineage(across)
     last = links(across)
-    for done in (keyed, codes, classes):
-        drop_lineage(done)
-    final = components(edges.unionByName(last)).withColumnRenamed("node", "content")
+    drop_lineage(across)
+    drop_lineage(keyed)
+    drop_lineage(codes)
+    final = joined(classes, last).withColumnRenamed("node", "content")
     drop_lineage(last)
     named = contents.select("content", "first_id").join(final, "content", "left").withColumn("component", F.coalesce("component", "content"))
     least = named.groupBy("component").agg(F.min("first_id").alias("class_id"))

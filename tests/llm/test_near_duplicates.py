@@ -154,3 +154,10 @@ def test_every_pair_of_a_loose_family_that_shares_a_sketch_is_compared(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(6)
     got = {r["doc_id"]: r["class_id"] for r in om.near_duplicate_classes(docs).collect()}
     assert len(pairs) > 200 and [(a, b) for a, b in pairs if got[a] != got[b]] == []
+
+
+def test_a_crowded_bucket_gives_its_outsiders_only(spark):
+    rows = [("k", f"c{i:03}", "big") for i in range(200)] + [("k", "x", "x"), ("k", "y", "y")] + [("one", f"c{i:03}", "big") for i in range(50)]
+    got = om._outsiders(spark.createDataFrame(rows, "key string, content string, component string")).collect()
+    assert sorted((r["key"], r["content"]) for r in got) == [("k", "x"), ("k", "y")]
+    assert {r["head"][0] for r in got} == {"c"}
