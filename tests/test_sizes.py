@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from codefacts.operators import callgraph, closure, lookups, substrings
+from codefacts.operators import callgraph, closure, impact, lookups, substrings
 from codefacts.plans import questions
 from codefacts.projection import Facts
 
@@ -84,6 +84,40 @@ def test_edges_of_questions_equal_every_call_compared(spark):
                 want[k] = (want.get(k, (0,))[0] + 1, int(x in hit), int(y in hit))
     got = a.edges.select("query_id", "file", "line", "caller", "callee", "confidence", "n", "hit_caller", "hit_callee").collect()
     assert len(got) == len(want) and {tuple(r)[:6]: tuple(r)[6:] for r in got} == want
+    flow = {}
+    for q, f, line, x, y, _ in want:
+        for side, end in enumerate((x, y)):
+            flow[q, end] = min(flow.get((q, end), (f, line, x, y or "~", side)), (f, line, x, y or "~", side))
+    for _, q, text in asked:
+        for x in names:
+            if any(w in x for w in text.split("_")):
+                flow.setdefault((q, x), None)
+    got = questions.linear_flow(a).select("query_id", "symbol", "step", "file", "line", "caller", F.coalesce("callee", F.lit("~")), "side").collect()
+    known = [tuple(r) for r in got if r["symbol"] is not None]
+    assert {(r[0], r[1]): tuple(r[3:]) if r[2] == 0 else None for r in known} == {k: v for k, v in flow.items() if k[1]} and len(known) == len({r[:2] for r in known})
+    hits = {q: {x for x in names if any(w in x for w in text.split("_"))} for _, q, text in asked}
+    assert rows(a.far_names().where("name is not null").select("query_id", "name")) == sorted({(q, e) for q, e in flow if e and e not in hits[q]})
+
+
+def test_a_bit_table_holds_many_words_a_row(spark):
+    keys = spark.range(40_000)
+    table = substrings.bit_table(keys, ["id"], 10)
+    assert table.count() == 2**10 // substrings.SLOTS
+    some = substrings.bit_table(keys.where("id % 100 = 0"), ["id"], 14)
+    marked = substrings.mark_maybe(keys, some, ["id"], 14).groupBy((F.col("id") % 100 == 0).alias("k")).agg(F.count_if("_maybe").alias("n"), F.count("*").alias("m"))
+    by = {r["k"]: r for r in marked.collect()}
+    assert by[True]["n"] == by[True]["m"] == 400 and by[False]["n"] < 100 and by[False]["m"] == 39_600
+
+
+def test_sets_go_over_hubs_as_bits(spark):
+    rng = random.Random(7)
+    has = sorted({(P, f"S:m{rng.randint(0, 150):03d}", f"h{rng.randint(0, 40)}") for _ in range(900)})
+    out = sorted({(P, f"h{rng.randint(0, 45)}", f"f{rng.randint(0, 30)}") for _ in range(200)})
+    got = impact.over_hubs(spark.createDataFrame(has, "project_id string, set string, hub string"), spark.createDataFrame(out, "project_id string, hub string, dst string"))
+    assert rows(got.select("set", "dst")) == sorted({(s, d) for _, s, h in has for _, k, d in out if h == k})
+    met = spark.createDataFrame([(P, f"S:m{i}", "h") for i in range(64)], "project_id string, set string, hub string")
+    many = spark.range(1000).select(F.lit(P).alias("project_id"), F.lit("h").alias("hub"), F.concat(F.lit("f"), "id").alias("dst"))
+    assert impact.over_hubs(met, many).count() == 64_000
 
 
 def test_callbacks_are_distinct_without_a_shuffle_of_the_pairs(spark):
