@@ -68,45 +68,71 @@ def extract_enum_members(files: DataFrame, text: str = "text") -> DataFrame:
     return rows.select(*FILE, "enum", F.regexp_extract("m", rf"^({NAME})", 1).alias("name"), "pos", value.alias("value"), F.when(F.col("num").isNull(), F.col("raw")).alias("value_expr"))
 
 
-def _found(files: DataFrame, text: str, find: Callable[[ctext.Source], Iterable[dict]], schema: str) -> DataFrame:
-    """One row per fact that ``find`` sees in a file. Matching brackets is beyond regular expressions, so it runs in
-    Arrow batches; a file stays in its task and no line is shuffled. A null text has no facts."""
-    target = T.StructType.fromDDL(f"project_id string, path string, {schema}")
+#: What follows the brackets of a text: how it is found, and its columns.
+_FUNCTION = ("name", "start_line", "end_line", "return_type", "parameters", "definition")
+BRACKETS: dict[str, tuple[Callable[[ctext.Source], Iterable[dict]], str]] = {
+    "fields": (ctext.Source.fields, "struct string, name string, pos int, type string, is_function_pointer boolean, line int"),
+    "functions": (lambda s: [{k: f[k] for k in _FUNCTION} for f in s.functions],
+                  "name string, start_line int, end_line int, return_type string, parameters array<string>, definition boolean"),
+    "usage": (ctext.Source.usage, "line int, field string, access string, function string"),
+    "bindings": (ctext.Source.bindings, "line int, name string, via string, field string, caller_hint string"),
+}
+#: Facts sent to Spark at once; files over the size limit never come here, so a batch stays small.
+_AT_ONCE = 5_000
+
+
+def bracket_facts(files: DataFrame, text: str = "text", kinds: Iterable[str] = tuple(BRACKETS)) -> DataFrame:
+    """All facts of ``kinds`` in one pass over the files: ``(project_id, path, kind, <one struct per kind>)``; see ``of_kind``.
+
+    Matching brackets is beyond regular expressions, so it runs in Arrow batches; the brackets of a file are matched once
+    for all kinds, a file stays in its task and no line is shuffled. A null text has no facts.
+    """
+    wanted = {k: BRACKETS[k] for k in kinds}
+    target = T.StructType.fromDDL("project_id string, path string, kind string, " + ", ".join(f"{k} struct<{c}>" for k, (_, c) in wanted.items()))
     arrow = to_arrow_schema(target)
+    find = {k: f for k, (f, _) in wanted.items()}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[dict] = []
         for batch in batches:
             for project, path, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                own = [{"project_id": project, "path": path, **fact} for fact in find(ctext.Source(content or ""))]
-                if own:
+                source = ctext.Source(content or "")
+                own += [{"project_id": project, "path": path, "kind": k, k: fact} for k, f in find.items() for fact in f(source)]
+                if len(own) >= _AT_ONCE:
                     yield pa.RecordBatch.from_pylist(own, schema=arrow)
+                    own = []
+        if own:
+            yield pa.RecordBatch.from_pylist(own, schema=arrow)
 
     return files.select(F.col("project_id").cast("string"), F.col("path").cast("string"), text).mapInArrow(rows, target)
 
 
+def of_kind(seen: DataFrame, kind: str) -> DataFrame:
+    """The facts of one kind among ``bracket_facts``."""
+    out = seen.where(F.col("kind") == kind).select(*FILE, f"{kind}.*")
+    return out.drop("line") if kind == "fields" else out
+
+
 def extract_struct_fields(files: DataFrame, text: str = "text") -> DataFrame:
     """Members of structs and unions at any depth of brackets: name, type text with array suffix, function-pointer flag.
 
     The name is the typedef alias before the tag; anonymous ones are left out, and so are structs inside others. Of
     several declarators the first counts; ``pos`` counts the members from 0.
     """
-    out = "struct string, name string, pos int, type string, is_function_pointer boolean, line int"
-    return _found(files, text, ctext.Source.fields, out).drop("line")
+    return of_kind(bracket_facts(files, text, ["fields"]), "fields")
 
 
 def extract_functions(files: DataFrame, text: str = "text") -> DataFrame:
     """Function definitions and prototypes, over as many lines as they take, with return type and parameters (unnamed ones
     dropped). A definition ends with its body; a body that is never closed ends with the file."""
-    keep = ("name", "start_line", "end_line", "return_type", "parameters", "definition")
-    out = "name string, start_line int, end_line int, return_type string, parameters array<string>, definition boolean"
-    return _found(files, text, lambda s: [{k: f[k] for k in keep} for f in s.functions], out)
+    return of_kind(bracket_facts(files, text, ["functions"]), "functions")
 
 
 def extract_bindings(files: DataFrame, text: str = "text") -> DataFrame:
     """Names bound by a field, table or variable, an initialiser, or a registering call, with the enclosing function."""
-    return _found(files, text, ctext.Source.bindings, "line int, name string, via string, field string, caller_hint string")
+    return of_kind(bracket_facts(files, text, ["bindings"]), "bindings")
 
 
 def extract_field_usage(files: DataFrame, text: str = "text") -> DataFrame:
     """Fields written (the whole left side of an assignment) and read (any other access), with the enclosing function."""
-    return _found(files, text, ctext.Source.usage, "line int, field string, access string, function string")
+    return of_kind(bracket_facts(files, text, ["usage"]), "usage")
