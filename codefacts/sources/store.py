@@ -110,7 +110,8 @@ def replace_shards(rows: DataFrame, path: str, touched: list[int]) -> None:
     with the same rows changes nothing.
     """
     staged = cut_lineage(rows)
-    staged.repartition("shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    # a large shard is written by several tasks
+    staged.hint("rebalance", "shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
     held = {r["shard"] for r in staged.select("shard").distinct().collect()}  # at most the shards
     for shard in set(touched) - held:
         delete_folder(rows.sparkSession, f"{path}/shard={shard}")

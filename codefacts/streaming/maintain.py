@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from codefacts.functions import fixed
+from codefacts.operators import extract
 from codefacts.plans import refresh
 from codefacts.session import cut_lineage, drop_lineage
 from codefacts.sources import store
@@ -68,7 +69,11 @@ def apply_changes(batch: DataFrame, root: str, stream: str, batch_id: int, large
     folders = {name: f"{root}/facts/{name}" for name in TABLES} | {"set_aside": f"{root}/set_aside/{number:08d}"}
     schemas = {"set_aside": aside.schema.json()}
     aside.coalesce(1).write.mode("overwrite").parquet(folders["set_aside"])
-    fresh = refresh.extract_facts(news.where("op <> 'delete'").select(*FILE, "text"))
+    changed = news.where("op <> 'delete'").select(*FILE, "text")
+    # parsing costs far more than its few bytes suggest: the files are dealt to all cores, and parsed once for all tables
+    good = extract.size_guard(changed)[0].repartition(spark.sparkContext.defaultParallelism, *FILE)
+    seen = cut_lineage(extract.bracket_facts(good))
+    fresh = refresh.extract_facts(changed, seen=seen)
 
     def replace(name: str) -> None:
         new = fresh[name].withColumn("shard", shard_of(shards))
@@ -82,8 +87,8 @@ def apply_changes(batch: DataFrame, root: str, stream: str, batch_id: int, large
     kept = applied.where(F.col("shard").isin(touched)).join(news.select(*FILE), FILE, "left_anti")
     store.replace_shards(kept.select(*state.columns).unionByName(state), f"{root}/facts/applied", touched)
     store.commit(spark, root, f"{stream}-{batch_id}", folders, schemas, stream, batch_id)
-    drop_lineage(rows)
-    drop_lineage(news)
+    for df in (rows, news, seen):
+        drop_lineage(df)
     return True
 
 
