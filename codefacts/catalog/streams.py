@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from codefacts.catalog.base import add
 from codefacts.catalog.sourceq import CP, c_sources
 from codefacts.catalog.tasks import PAIRS, moves
 from codefacts.functions import fixed
 from codefacts.projection import Facts
-from codefacts.session import scratch_folder
+from codefacts.session import cut_lineage, drop_lineage, scratch_folder
 from codefacts.sources import store
 from codefacts.streaming import maintain, ordered
 
-#: How late events come here, in milliseconds of event time, and rows of one batch, about.
+#: How late events come here, in milliseconds of event time; batches of a stream, and rows of one of their files, about.
 DELAY_MS = 6 * 3_600_000
-BATCH_ROWS = 1_000_000
+BATCHES = 5
+FILE_ROWS = 1_000_000
 DAYS_MS = 86_400_000
 
 
@@ -25,28 +27,43 @@ def utc(ts: str = "ts") -> Column:
     return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts).cast("timestamp_ntz")))
 
 
+def put_batch(rows: DataFrame, folder: str, number: int, files: int) -> None:
+    """Writes ``rows`` as batch ``number`` of a stream over ``folder``: exactly ``files`` files, the last ones empty if need be."""
+    spark, path = rows.sparkSession, f"{folder}/b{number:08d}"
+    rows.coalesce(files).write.parquet(path)
+    for _ in range(files - len(spark.read.schema(rows.schema).parquet(path).inputFiles())):
+        rows.limit(0).coalesce(1).write.mode("append").parquet(path)
+
+
+def in_batches(spark: SparkSession, schema: StructType, folder: str, files: int) -> DataFrame:
+    """The stream of the batches of ``put_batch``, in the order they were written."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/*")
+
+
 def paced(rows: DataFrame, delay_ms: int, quiet_ms: int, key: str) -> DataFrame:
     """A stream of ``rows`` (with ``seq`` and ``ts``) that arrive up to ``delay_ms`` of event time late, in shuffled batches.
 
     Each row is delayed by a hash of its ``seq``; a batch holds the rows of a span of arrival times. The last one ends with a
-    clock row that moves the watermark past all rows and past ``quiet_ms`` of silence.
+    clock row that moves the watermark past all rows and past ``quiet_ms`` of silence. A key costs about the same in every batch
+    that meets it, so larger tables make larger batches of more files, not more batches.
     """
     spark = rows.sparkSession
     arrival = F.unix_millis("ts") + F.pmod(F.xxhash64("seq"), F.lit(delay_ms))
-    dealt = rows.withColumn("arrival", arrival)
+    dealt = cut_lineage(rows.withColumn("arrival", arrival))
     first, last, n, end = dealt.agg(F.min("arrival"), F.max("arrival"), F.count("*"), F.max(F.unix_millis("ts"))).first()
     if not n:
         first = last = end = 0
-    batches = max(5, -(-n // BATCH_ROWS))
-    width = (last - first) // batches + 1
+    width = (last - first) // BATCHES + 1
+    files = max(1, -(-n // (BATCHES * FILE_ROWS)))
     folder = scratch_folder(spark)
     clock = spark.range(1).select(
         F.timestamp_millis(F.lit(end + delay_ms + quiet_ms + 60_000)).alias("ts"), F.lit(ordered.CLOCK).alias("type"), F.lit(-1).cast("long").alias("seq"), F.lit(None).cast(dict(rows.dtypes)[key]).alias(key))
-    for k in range(batches):  # one after the other, so that the stream meets them in this order
+    for k in range(BATCHES):  # one after the other, so that the stream meets them in this order
         part = dealt.where((F.col("arrival") >= first + k * width) & (F.col("arrival") < first + (k + 1) * width)).drop("arrival")
-        part = part.unionByName(clock, allowMissingColumns=True) if k == batches - 1 else part
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        part = part.unionByName(clock, allowMissingColumns=True) if k == BATCHES - 1 else part
+        put_batch(part, folder, k, files)
+    drop_lineage(dealt)
+    return in_batches(spark, rows.schema, folder, files)
 
 
 @add("t3_live_task_state", """
@@ -116,12 +133,13 @@ def t5(f: Facts) -> DataFrame:
     """One stream brings the changes of a project, a second one with its own batches a new project."""
     spark = f.spark
     root = scratch_folder(spark)
+    files = max(1, -(-f.table("part").count() // FILE_ROWS))
     feeds = [change_feed(f), [change_feed(f)[0].unionByName(change_feed(f)[1]).where(F.regexp_extract("text", r"#define MAX_\d+ (\d+)", 1).cast("int") < 10).withColumn("project_id", F.lit("library"))]]
     for feed in feeds:
         folder = scratch_folder(spark)
-        for batch in feed:
-            batch.coalesce(1).write.mode("append").parquet(folder)
-        stream = spark.readStream.schema(feed[0].schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        for k, batch in enumerate(feed):
+            put_batch(batch, folder, k, files)
+        stream = in_batches(spark, feed[0].schema, folder, files)
         maintain.maintain_facts(stream, root, scratch_folder(spark), shards=8).awaitTermination()
     tables = store.read_index(spark, root)[1]
     ends = tables["functions"].select("project_id", "path", "end_line")
