@@ -134,3 +134,32 @@ def test_reach_makes_its_last_step_distinct_once(spark):
     got = closure.reach_fixed(spark.createDataFrame([(P, 9, 1)], "project_id string, start int, node int"), e, ["project_id"], 2)
     assert rows(got.select("node")) == [(1,), (2,), (3,), (4,)]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") < 7
+
+
+def test_reach_lists_the_last_step_only_beside_its_start(spark):
+    e = [(P, a, b) for a in range(30) for b in range(100, 130)] + [(P, a, b) for a in range(100, 130) for b in (*range(200, 260), None)] + [(P, None, 7)]
+    edges = spark.createDataFrame(e, "project_id string, src int, dst int")
+    got = closure.reach_fixed(spark.createDataFrame([(P, a, a) for a in (*range(30), None)], "project_id string, start int, node int"), edges, ["project_id"], 2)
+    assert {tuple(r) for r in got.groupBy("start").count().collect()} == {(a, 1 + 30 + 61) for a in range(30)} | {(None, 1)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Exchange")  # printed from the top: the lists are opened after the last shuffle
+    names = spark.createDataFrame([(P, x) for x in ["a", "b", "a", None, "c"]] + [("q", "a")], "project_id string, name string")
+    number = closure.numbered(names, ["project_id"], "name").collect()
+    assert sorted(r["number"] for r in number) == [0, 1, 2, 3] and {r[:2] for r in number} == {(P, "a"), (P, "b"), (P, "c"), ("q", "a")}
+
+
+def test_an_impact_search_carries_its_starts_as_bits(spark):
+    none = lambda schema: spark.createDataFrame([], "project_id string, " + schema)
+    files = [f"f{i}.h" for i in range(70)]
+    inc = spark.createDataFrame([(P, a, b) for a in files for b in files if a != b], "project_id string, src string, target string")
+    sym = spark.createDataFrame([(P, "x", "f1.h"), (P, "y", "f2.h")], "project_id string, name string, file string")
+    mods = spark.createDataFrame([(P, "M", "x"), (P, "N", "y")], "project_id string, module string, name string")
+    deps = spark.createDataFrame([(P, "M", "N")], "project_id string, `from` string, `to` string")
+    usage = spark.createDataFrame([(P, "v", "x", "write"), (P, "v", "y", "read")], "project_id string, field string, function string, access string")
+    g = impact.impact_graph(sym, none("caller string, callee string"), none("callee string, file string, caller_hint string"), none("struct string, field string, file string"), usage, inc, mods, deps)
+    starts = spark.createDataFrame([(P, f, f"F:{f}") for f in files] + [(P, "x", "x"), (P, None, "y")], "project_id string, start string, node string")
+    got = impact.reach(g, starts, 2)
+    assert got.columns == ["project_id", "start", "node"] and "module_deps" in g.__dict__ and "set_out" not in g.__dict__
+    want = {(f, f"F:{n}") for f in files for n in files}
+    want |= {("x", n) for n in ("x", "y", "F:f1.h", "F:f2.h", "S:M", *[f"F:{f}" for f in files])} | {(None, n) for n in ("y", "F:f2.h", "S:M", "O:M", *[f"F:{f}" for f in files])}
+    assert {tuple(r) for r in got.select("start", "node").collect()} == want and got.count() == len(want)
