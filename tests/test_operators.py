@@ -158,3 +158,21 @@ def test_every_file_counts_in_a_fingerprint(spark):
     base = hashes.fingerprint(spark.createDataFrame(rows, "project_id string, path string, text string")).first()
     last = hashes.fingerprint(spark.createDataFrame([*rows[:-1], ("p", rows[-1][1], "y")], "project_id string, path string, text string")).first()
     assert base["fingerprint"] != last["fingerprint"]
+
+
+def test_calls_are_read_once_for_entries_and_links(spark):
+    from codefacts.operators import relations
+
+    make = lambda data, schema: spark.createDataFrame([(P, *r) for r in data], "project_id string, " + schema)
+    calls = make([("a", "b", "x.c", "high"), ("a", "b", "y.c", "low"), (None, "b", "x.c", "high"), ("lost", "b", "y.h", None), ("lost", "c", "none.c", "high"), ("c", "b", "y.h", "high"), ("b", None, "x.c", "low"), ("bare", "a", "y.h", "low")],
+                 "caller string, callee string, file string, confidence string")
+    own = make([("M", "a", 1), ("N", "b", 2), ("N", "b", 3), ("N", "c", 4), (None, "bare", 5)], "module string, name string, ord bigint")
+    files = make([("X", "x.c"), ("Y", "y.h"), (None, "none.c")], "module string, path string")
+    links = relations._call_links(calls, own, files)
+    got = links.groupBy("m1", "m2", "callee").agg(F.sum("n").alias("n"), F.sum("n_high").alias("h"))
+    assert sorted(tuple(r) for r in got.collect()) == [("M", "N", "b", 2, 1), ("N", "N", "b", 1, 1), ("X", "N", "b", 1, 1), ("Y", "M", "a", 1, 0), ("Y", "N", "b", 1, 0)]
+    known = links._jdf.queryExecution().analyzed().toString()
+    assert known.index("Union") < known.index("Aggregate")  # counted by module before the names of callees are joined
+    entries = relations.entry_points(calls, own)
+    assert sorted(tuple(r) for r in entries.select("module", "name", "ord", "outside_calls", "rank").collect()) == [("M", "a", 1, 1, 1), ("N", "b", 2, 4, 1), ("N", "b", 3, 4, 2)]
+    assert "LeftSemi" not in entries._jdf.queryExecution().analyzed().toString() and entries._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
